@@ -28,12 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vocatlas.llm import golay
-from vocatlas.llm.base import cut, table
+from vocatlas.llm.base import cut, partitions, scratch_path, table
+from vocatlas.llm.bytewords import mix
 from vocatlas.llm.components import components
 
 SEED = 42
@@ -42,6 +43,17 @@ BUCKET = 64
 #: Shingles hashed at once; bounds a worker's memory on long texts.
 SHINGLES_AT_ONCE = 1 << 16
 
+#: Shingles of a passage on average (a power of two), and passages kept of a text.
+PASSAGE, PASSAGES = 8, 8
+#: Least share of a text's units that other texts must share.
+SHARE = 0.25
+#: Shingle hashes of a sketch; links kept of similar texts: so many spanning forests.
+SKETCH, FORESTS = 128, 2
+#: Nodes of a class compared at once; classes beyond it that a node is compared in.
+BLOCK, LARGE_CLASSES = 256, 4
+#: Ids that may be broadcast, 8 bytes each.
+MAX_BROADCAST = 2_000_000
+
 
 def split_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text whose A-Z are lower-cased.
@@ -125,16 +137,15 @@ def hamming_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fingerprints within two bits. Each link is such a pair, or its ends meet
     in a point within one bit of both.
     """
-    rows = cut(_golay_rows(prints.select("fp").distinct()))
-    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(rows.join(size, "key"))
+    distinct = prints.select("fp").distinct()
+    size = _golay_rows(distinct).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    size = cut(size)
+    near = F.bit_count(F.expr("a ^ b")) <= RADIUS
+    pairs = size.where("n = 2").where(near).select("a", "b")
+    shared = cut(_golay_rows(distinct).join(size.where("n > 2").select("key", "n"), "key"))
     small = shared.where(F.col("n") <= bucket).select("key", "fp")
-    pairs = (
-        small.select("key", F.col("fp").alias("a"))
-        .join(small.select("key", F.col("fp").alias("b")), "key")
-        .where("a < b")
-        .where(F.bit_count(F.expr("a ^ b")) <= RADIUS)
-        .select("a", "b")
+    pairs = pairs.union(
+        small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").where("a < b").where(near).select("a", "b")
     )
     points = _midpoint_rows(shared.where(F.col("n") > bucket).select("fp").distinct())
     least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b")
@@ -153,6 +164,196 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
+def sketch_links(members: list[tuple[int, int, np.ndarray]], least: float, forests: int = FORESTS) -> list[tuple[int, int]]:
+    """Links between (node, shingles, sketch) whose estimated Jaccard
+    similarity is ``least`` or more: ``forests`` spanning forests, each the best
+    of the links that the earlier ones left."""
+    m = len(members)
+    sketches = [x[2] for x in members]
+    values, at = np.unique(np.concatenate(sketches), return_inverse=True)
+    has = np.zeros((m, len(values)), np.float32)
+    has[np.repeat(np.arange(m), [len(x) for x in sketches]), at] = 1
+    same = has @ has.T
+    # A full sketch says nothing of hashes above its last one.
+    top = np.array([x[-1] if len(x) < n else np.iinfo(np.int64).max for (_, n, x) in members])
+    upto = np.minimum(top[:, None], top[None, :])
+    size = np.stack([np.searchsorted(x, upto[i], side="right") for i, x in enumerate(sketches)])
+    likely = same / np.maximum(1, size + size.T - same)
+    a, b = np.nonzero(np.triu(likely >= least, 1))
+    order = np.argsort(-likely[a, b], kind="stable")
+    pairs = list(zip(a[order].tolist(), b[order].tolist()))
+    out = []
+    for _ in range(forests):
+        root = list(range(m))
+        rest = []
+        for i, j in pairs:
+            x, y = i, j
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            while root[y] != y:
+                root[y] = root[root[y]]
+                y = root[y]
+            if x == y:
+                rest.append((i, j))
+            else:
+                root[x] = y
+                out.append((members[i][0], members[j][0]))
+        pairs = rest
+    return out
+
+
+def passage_features(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
+    """``id_col``, ``node`` (a hash of the words; null without any), ``units``
+    (SimHashes of the whole text and of ``PASSAGES`` of its passages),
+    ``shingles`` (distinct ones) and ``sketch`` (the least ``SKETCH`` of their hashes)."""
+    src = docs.select(id_col, F.col(text_col).alias("__text"))
+    names = [id_col, "node", "units", "shingles", "sketch"]
+    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType())), T.StructField("shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+
+    def one(text: str | None):
+        words = split_words(text)
+        if not words:
+            return None, [], 0, []
+        h = np.concatenate([x.astype(np.uint64) for x in shingle_hashes(words, shingle)])
+        distinct = np.unique(h)
+        ends = np.flatnonzero((h & np.uint64(PASSAGE - 1)) == 0) + 1
+        starts = np.r_[0, ends[ends < len(h)]]
+        stops = np.r_[starts[1:], len(h)]
+        mark = mix(np.add.reduceat(h, starts))
+        _, first = np.unique(mark, return_index=True)
+        chosen = first[:PASSAGES]
+        units = {simhash(iter([np.ascontiguousarray(h[a:b]).astype(">u8")])) for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())}
+        units.add(simhash(h[i : i + SHINGLES_AT_ONCE].astype(">u8") for i in range(0, len(h), SHINGLES_AT_ONCE)))
+        node = _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
+        return node, sorted(map(_signed, units)), len(distinct), (distinct[:SKETCH] >> np.uint64(1)).astype(np.int64).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [one(t.as_py()) for t in b.column(1)]
+            cols = list(zip(*got)) if got else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], names=names
+            )
+
+    return src.mapInArrow(run, schema)
+
+
+def _class_links(rows: DataFrame, least: float) -> DataFrame:
+    """Links within each (class, block pair) of ``rows``: class, bi, bj, node, shingles, sketch."""
+    n = partitions(rows.sparkSession)
+    dealt = rows.repartition(n, "class", "bi", "bj").sortWithinPartitions("class", "bi", "bj")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+
+        def links():
+            found = sketch_links(group, least) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            nodes, sizes = b.column(3).to_pylist(), b.column(4).to_pylist()
+            for i, key in enumerate(keys):
+                if key != at:
+                    if group:
+                        yield links()
+                    at, group = key, []
+                group.append((nodes[i], sizes[i], b.column(5)[i].values.to_numpy()))
+        if group:
+            yield links()
+
+    return dealt.select("class", "bi", "bj", "node", "shingles", "sketch").mapInArrow(run, "a long, b long")
+
+
+def _verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
+    """The links whose texts' shingle sets have a Jaccard similarity of ``threshold`` or more.
+    ``nodes``: ``id_col`` and node, one id a node."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(nodes.join(ends, "node"))
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col(id_col)).select("node", "__text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # 32 bits of a hash: within one pair of texts they tell shingles apart.
+            out = [np.unique(np.concatenate([(x.astype(np.uint64) >> np.uint64(32)).astype(np.int64) for x in shingle_hashes(split_words(t.as_py()), shingle)])) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(x - (1 << 31)).astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["node", "s"])
+
+    known = cut(texts.mapInArrow(sets, "node long, s array<int>").groupBy("node").agg(F.first("s").alias("s")))
+    both = links.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return both.where(same >= F.lit(threshold) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``id_col`` and ``group_id``, the least id of the documents that are
+    reached by links of similarity ``threshold`` or more. Only groups of two or
+    more documents have rows.
+
+    Texts of equal words are one node. A text's units are the SimHashes of the
+    whole text and of ``PASSAGES`` passages with the least hashes, cut where a
+    shingle's hash says so (``PASSAGE`` shingles on average). Units link as
+    fingerprints do, by Golay keys; linked units are a class. Nodes of one
+    class that share enough of their units are compared by sketches of their
+    shingles, a class of up to ``BLOCK`` at once, a larger one in blocks, each
+    block with each; forests that span the similar ones are kept and their links
+    verified on the whole shingle sets.
+
+    Two texts of similarity 0.8 share about two thirds of their passages, so
+    that a pair without a shared unit is rarer than one in a thousand, and
+    rarer still the more alike they are.
+    """
+    features = passage_features(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle)
+    path = scratch_path(docs.sparkSession, "near-groups")
+    features.write.parquet(path)
+    features = docs.sparkSession.read.parquet(path).where("node is not null")
+    ids = features.select("node", id_col)
+    first = ids.groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
+    units = features.select("node", F.explode("units").alias("fp")).distinct()
+    repeated = units.groupBy("fp").agg(F.count("*").alias("n"))
+    roots = components(hamming_links(repeated))
+    classes = repeated.join(roots, repeated.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("class"), ((F.col("n") > 1) | F.col("root").isNotNull()).alias("shared"))
+    incidence = units.join(classes, "fp").groupBy("node", "class").agg(F.max("shared").alias("shared"))
+    enough = incidence.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.col("shared").cast("int")).alias("s")).where(F.col("s") >= F.greatest(F.lit(1), F.floor(F.col("n") * SHARE))).select("node")
+    live = cut(incidence.where("shared").join(enough, "node").select("node", "class"))
+    size = live.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
+    size = cut(size)
+    two = size.where("n = 2").select("a", "b").distinct()
+    many = live.join(size.where("n > 2").select("class", "n"), "class")
+    # A node's large classes repeat its neighbours: the same few of them, by hash, are enough.
+    rank = F.row_number().over(Window.partitionBy("node", F.col("n") > BLOCK).orderBy(F.xxhash64("class"), "class"))
+    many = many.withColumn("rank", rank).where((F.col("n") <= BLOCK) | (F.col("rank") <= LARGE_CLASSES)).drop("rank")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = many.withColumn("own", own).select("class", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "own").select(
+        "class", "node", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")
+    )
+    sketches = features.select("node", "shingles", "sketch").join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    rough = _class_links(pairs.join(sketches, "node"), threshold - 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5)
+    links = cut(two.union(rough).distinct())
+    good = _verified(links, docs, first.select("node", id_col), id_col, text_col, shingle, threshold)
+    groups = components(good)
+    named = first.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col(id_col).alias("first"), "copies")
+    least = named.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("copies").alias("members")).where("members > 1").select("root", "group_id")
+    return ids.join(named.select("node", "root").join(least, "root").select("node", "group_id"), "node").select(id_col, "group_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of ``near_groups``, the one
+    with the least id (of several rows with it, one that is whole)."""
+    groups = cut(near_groups(docs, id_col, text_col, shingle, threshold))
+    gone = groups.where(F.col(id_col) != F.col("group_id")).select(id_col).distinct()
+    if gone.count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, id_col, "left_anti")
+    twice = cut(docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(id_col))
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
