@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocatlas.llm import decontaminate, language_id, mixing, near_dedup, toxicity
-from vocatlas.llm.base import scratch_path, table
+from vocatlas.llm.base import table
+from vocatlas.session import scratch_path
 
 #: Texts whose language is less certain are rejected.
 LANGUAGE_SCORE = 0.5

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from vocatlas.llm.base import table
 from vocatlas.llm.bytewords import Lookup, Words, chunks, grams, tokenize
+from vocatlas.session import scratch_path
 
 WINDOW = 10
 GRAM = 5
@@ -186,8 +187,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def _settled(df: DataFrame) -> DataFrame:
     """Row numbers must not change between the blocks."""
-    from vocatlas.llm.base import scratch_path
-
     path = scratch_path(df.sparkSession, "decontaminate")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

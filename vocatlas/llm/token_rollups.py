@@ -29,7 +29,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocatlas.llm.base import scratch_path, table
+from vocatlas.llm.base import table
+from vocatlas.session import scratch_path
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
