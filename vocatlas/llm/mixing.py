@@ -3,10 +3,11 @@
 Documents fall into cells of source, language and topic. Iterative
 proportional fitting rakes the cells' token weights: in turn, each marginal's
 weights are scaled to its target, ``ROUNDS`` times. A cell's raked weight over
-its tokens is what a document of it is worth; divided by the greatest of these
-times ``BUDGET`` it is the calibrated probability (at most 1) with which each of
-its documents is sampled, by a hash of its id, so that the expected mix of
-sampled tokens is the raked one (exactly so while no probability is cut at 1).
+its tokens is what a token of it is worth. Documents are sampled, by a hash of
+their id, with probability ``scale * worth`` but at most 1, where the scale is
+such that ``BUDGET`` of all tokens are expected. A cell whose probability is cut
+at 1 has fewer tokens than its weight asks for and gives all of them; all other
+cells are in the raked proportions.
 
 Without stated targets a marginal's targets are its token shares to the power
 ``TEMPERATURE``, which lifts what is rare. Stated targets are frames of (value,
@@ -29,12 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vocatlas.llm.base import cut, table
+from vocatlas.llm.base import table
+from vocatlas.session import cut
 
 ROUNDS = 12
 TEMPERATURE = 0.7
-#: Times the largest budget that no probability needs cutting for.
-BUDGET = 1.0
+#: Share of all tokens to sample.
+BUDGET = 0.5
 MAX_CELLS = 100_000
 SEED = 20_240_601
 KEYS = ("source", "lang", "topic")
@@ -85,9 +87,19 @@ def rake(cells: DataFrame, keys=KEYS, rounds: int = ROUNDS, temperature: float =
 
 
 def calibrate(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``raked`` with ``probability``."""
-    top = float(raked.agg(F.max("worth")).first()[0] or 1.0)
-    return raked.withColumn("probability", F.least(F.lit(1.0), F.lit(budget) * F.col("worth") / F.lit(top)))
+    """``raked`` with ``probability``. Each pass over the cells finds those that
+    the scale so far cuts at 1; they only become more, and mostly few passes do."""
+    wanted = budget * float(raked.agg(F.sum("tokens")).first()[0] or 0)
+    scale, cut_before = 0.0, -1
+    while True:
+        full = F.lit(scale) * F.col("worth") >= 1
+        n, tokens, weight = raked.agg(
+            F.coalesce(F.sum(F.when(full, 1)), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))
+        ).first()
+        if n == cut_before or not weight:
+            break
+        scale, cut_before = max(scale, (wanted - tokens) / weight), n
+    return raked.withColumn("probability", F.least(F.lit(1.0), F.lit(scale) * F.col("worth")))
 
 
 def unit(doc_id: Column, seed: int = SEED) -> Column:
@@ -144,8 +156,10 @@ raw AS (SELECT *, tokens AS weight, {', '.join(f'pow(sum(tokens) OVER (PARTITION
 {', '.join(f'z_{k} AS (SELECT sum(p) AS z FROM (SELECT DISTINCT {k}, p_{k} AS p FROM raw))' for k in KEYS)},
 shares AS (SELECT source, lang, topic, tokens, weight, {', '.join(f'p_{k} / (SELECT z FROM z_{k}) AS t_{k}' for k in KEYS)} FROM raw),
 {_ROUNDS},
-worths AS (SELECT source, lang, topic, weight / tokens AS worth FROM {_LAST}),
-probs AS (SELECT source, lang, topic, least(1.0, {BUDGET} * worth / (SELECT max(worth) FROM worths)) AS p FROM worths),
+worths AS (SELECT source, lang, topic, tokens, weight / (SELECT sum(weight) FROM {_LAST}) AS weight, weight / (SELECT sum(weight) FROM {_LAST}) / tokens AS worth FROM {_LAST}),
+runs AS (SELECT *, sum(tokens) OVER o - tokens AS above, sum(weight) OVER (ORDER BY worth, source DESC, lang DESC, topic DESC) AS rest FROM worths WINDOW o AS (ORDER BY worth DESC, source, lang, topic)),
+scales AS (SELECT ({BUDGET} * (SELECT sum(tokens) FROM worths) - above) / rest AS scale, worth FROM runs),
+probs AS (SELECT source, lang, topic, least(1.0, worth * (SELECT scale FROM scales WHERE scale * worth < 1 ORDER BY worth DESC LIMIT 1)) AS p FROM worths),
 done AS (
   SELECT doc_id, d.source, d.lang, d.topic, n_tokens, CASE WHEN n_tokens > 0 THEN coalesce(p, 0.0) ELSE 0.0 END AS p
   FROM d LEFT JOIN probs ON probs.source = s AND probs.lang = l AND probs.topic = d.topic)
