@@ -6,6 +6,8 @@ Unicode white space. Null and unparseable texts give null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ TYPES = (
 PARSED = "struct<canonical:string,namespace:string,node_type:string,parent_id:string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -57,20 +64,18 @@ def _number(text: Column, pattern: str, prefix: str) -> Column:
 
 def _canonical(candidate: Column) -> Column:
     """The canonical spelling of an exact identifier, or null."""
-    upper = F.upper(F.replace(candidate, F.lit(" "), F.lit("")))
-    sub = F.regexp_extract(upper, SUB, 2)
-    return F.coalesce(
-        _number(candidate, CWE, "CWE-"),
-        _number(candidate, CAPEC, "CAPEC-"),
-        F.when(upper.rlike(PLAIN), upper),
-        F.when(sub != "", F.concat(F.lit("T"), F.regexp_extract(upper, SUB, 1), F.lit("."), F.lpad(sub, 3, "0"))),
-    )
+
+    def technique(upper: Column) -> Column:
+        sub = F.regexp_extract(upper, SUB, 2)
+        return F.when(upper.rlike(PLAIN), upper).when(sub != "", F.concat(F.lit("T"), F.regexp_extract(upper, SUB, 1), F.lit("."), F.lpad(sub, 3, "0")))
+
+    spaceless = F.upper(F.replace(candidate, F.lit(" "), F.lit("")))
+    return F.coalesce(_number(candidate, CWE, "CWE-"), _number(candidate, CAPEC, "CAPEC-"), _let(spaceless, technique))
 
 
 def canonical_id(text: Column) -> Column:
     """The canonical identifier that a text is, prose prefixes and marks aside."""
-    raw = _bare(text)
-    return F.coalesce(_canonical(_bare(_without_prefix(raw))), _canonical(raw))
+    return _let(_bare(text), lambda raw: F.coalesce(_let(_bare(_without_prefix(raw)), _canonical), _canonical(raw)))
 
 
 def parent_of(canonical: Column) -> Column:
@@ -96,7 +101,7 @@ def _described(c: Column) -> Column:
 
 def parse_id(text: Column) -> Column:
     """The parsed identifier (``PARSED``), or null."""
-    return _described(canonical_id(text))
+    return _let(canonical_id(text), _described)
 
 
 def looks_structural(text: Column) -> Column:
@@ -116,8 +121,8 @@ def extract_parsed(text: Column) -> Column:
 
 def is_id_shaped(text: Column) -> Column:
     """Whether a text attempts an identifier, well-formed or not."""
-    raw = _bare(text)
-    return F.coalesce((raw != "") & (raw.rlike(SHAPED) | strip(_without_prefix(raw)).rlike(SHAPED)), F.lit(False))
+    shaped = _let(_bare(text), lambda raw: (raw != "") & (raw.rlike(SHAPED) | strip(_without_prefix(raw)).rlike(SHAPED)))
+    return F.coalesce(shaped, F.lit(False))
 
 
 def document_id(kind: Column | str, raw: Column) -> Column:
