@@ -656,10 +656,10 @@ def terms_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sentences of the benchmark's items that documents already have, a stated set of terms against all documents."""
     t = _read(spark, sf_dir, "benchmark").select("item_id", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("term")).withColumn("tt", text.tokens(F.col("term")))
     d = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("dt", text.tokens(F.col("text")))
-    # Only documents with a term's first token are looked at.
-    first = d.select("doc_id", "text", "dt", F.explode(F.array_distinct("dt")).alias("first"))
-    pairs = first.join(t.where(F.size("tt") > 0).withColumn("first", F.get("tt", F.lit(0))), "first")
-    return pairs.where(adj.already_in_document(F.col("text"), F.col("term"), F.col("tt"), F.col("dt"))).select("item_id", "doc_id")
+    # Only documents with a term's first token are looked at; ids alone meet the terms.
+    first = d.select("doc_id", F.explode(F.array_distinct("dt")).alias("first"))
+    pairs = first.join(t.where(F.size("tt") > 0).withColumn("first", F.get("tt", F.lit(0))), "first").drop("first")
+    return pairs.join(d, "doc_id").where(adj.already_in_document(F.col("text"), F.col("term"), F.col("tt"), F.col("dt"))).select("item_id", "doc_id")
 
 
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) WHERE k <= 5""")
