@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vocatlas.llm import golay
-from vocatlas.llm.base import cut, partitions, scratch_path, table
+from vocatlas.llm.base import partitions, small_batches, table
 from vocatlas.llm.bytewords import mix
 from vocatlas.llm.components import components
+from vocatlas.session import cut, scratch_path
 
 SEED = 42
 RADIUS = 2
@@ -45,6 +46,8 @@ SHINGLES_AT_ONCE = 1 << 16
 
 #: Shingles of a passage on average (a power of two), and passages kept of a text.
 PASSAGE, PASSAGES = 8, 8
+#: Texts of at most so many shingles have single shingles for passages.
+SHORT = 40
 #: Least share of a text's units that other texts must share.
 SHARE = 0.25
 #: Shingle hashes of a sketch; links kept of similar texts: so many spanning forests.
@@ -52,7 +55,7 @@ SKETCH, FORESTS = 128, 2
 #: Nodes of a class compared at once; classes beyond it that a node is compared in.
 BLOCK, LARGE_CLASSES = 256, 4
 #: Ids that may be broadcast, 8 bytes each.
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 250_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -95,6 +98,7 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``fp``, the SimHash as a signed long."""
+    small_batches(docs.sparkSession)
     src = docs.select(id_col, F.col(text_col).alias("__text"))
     schema = docs.select(id_col).schema.add("fp", T.LongType())
 
@@ -164,36 +168,49 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-def sketch_links(members: list[tuple[int, int, np.ndarray]], least: float, forests: int = FORESTS) -> list[tuple[int, int]]:
+def sketch_links(members: list[tuple[int, int, np.ndarray]], side: np.ndarray, least: float, sure: float, forests: int = FORESTS) -> list[tuple[int, int]]:
     """Links between (node, shingles, sketch) whose estimated Jaccard
     similarity is ``least`` or more: ``forests`` spanning forests, each the best
-    of the links that the earlier ones left."""
+    of the links that the earlier ones left.
+
+    ``side`` tells two blocks apart. Links within a block are another group's;
+    here they only join, where ``sure``, what needs no link across.
+    """
     m = len(members)
     sketches = [x[2] for x in members]
-    values, at = np.unique(np.concatenate(sketches), return_inverse=True)
-    has = np.zeros((m, len(values)), np.float32)
-    has[np.repeat(np.arange(m), [len(x) for x in sketches]), at] = 1
+    values, at, often = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    has = np.zeros((m, int(shared.sum())), np.float32)
+    has[np.repeat(np.arange(m), [len(x) for x in sketches])[keep], column[at[keep]]] = 1
     same = has @ has.T
     # A full sketch says nothing of hashes above its last one.
-    top = np.array([x[-1] if len(x) < n else np.iinfo(np.int64).max for (_, n, x) in members])
+    top = np.array([x[-1] if len(x) < n else np.iinfo(np.int32).max for (_, n, x) in members])
     upto = np.minimum(top[:, None], top[None, :])
     size = np.stack([np.searchsorted(x, upto[i], side="right") for i, x in enumerate(sketches)])
     likely = same / np.maximum(1, size + size.T - same)
-    a, b = np.nonzero(np.triu(likely >= least, 1))
+    two = side.any() and not side.all()
+    across = side[:, None] != side[None, :]
+    a, b = np.nonzero(np.triu((likely >= least) & (across if two else True), 1))
     order = np.argsort(-likely[a, b], kind="stable")
     pairs = list(zip(a[order].tolist(), b[order].tolist()))
+    known = np.argwhere(np.triu((likely >= sure) & ~across, 1)).tolist() if two else []
     out = []
     for _ in range(forests):
         root = list(range(m))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in known:
+            root[find(i)] = find(j)
         rest = []
         for i, j in pairs:
-            x, y = i, j
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            while root[y] != y:
-                root[y] = root[root[y]]
-                y = root[y]
+            x, y = find(i), find(j)
             if x == y:
                 rest.append((i, j))
             else:
@@ -209,61 +226,66 @@ def passage_features(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     ``shingles`` (distinct ones) and ``sketch`` (the least ``SKETCH`` of their hashes)."""
     src = docs.select(id_col, F.col(text_col).alias("__text"))
     names = [id_col, "node", "units", "shingles", "sketch"]
-    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType())), T.StructField("shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType())), T.StructField("shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.IntegerType()))])
+    small_batches(docs.sparkSession)
 
     def one(text: str | None):
         words = split_words(text)
         if not words:
-            return None, [], 0, []
+            return None, [], 0, np.zeros(0, np.int32)
         h = np.concatenate([x.astype(np.uint64) for x in shingle_hashes(words, shingle)])
         distinct = np.unique(h)
-        ends = np.flatnonzero((h & np.uint64(PASSAGE - 1)) == 0) + 1
-        starts = np.r_[0, ends[ends < len(h)]]
-        stops = np.r_[starts[1:], len(h)]
-        mark = mix(np.add.reduceat(h, starts))
-        _, first = np.unique(mark, return_index=True)
-        chosen = first[:PASSAGES]
-        units = {simhash(iter([np.ascontiguousarray(h[a:b]).astype(">u8")])) for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())}
+        units = set()
+        if len(h) <= SHORT:  # each shingle is a passage
+            units |= set(distinct[np.argsort(mix(distinct))[:PASSAGES]].tolist())
+        if len(h) > 0.8 * SHORT:  # so that similar texts on both sides of the limit meet
+            ends = np.flatnonzero((h & np.uint64(PASSAGE - 1)) == 0) + 1
+            starts = np.r_[0, ends[ends < len(h)]]
+            stops = np.r_[starts[1:], len(h)]
+            _, first = np.unique(mix(np.add.reduceat(h, starts)), return_index=True)
+            chosen = first[:PASSAGES]
+            units |= {simhash(iter([np.ascontiguousarray(h[a:b]).astype(">u8")])) for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())}
         units.add(simhash(h[i : i + SHINGLES_AT_ONCE].astype(">u8") for i in range(0, len(h), SHINGLES_AT_ONCE)))
         node = _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
-        return node, sorted(map(_signed, units)), len(distinct), (distinct[:SKETCH] >> np.uint64(1)).astype(np.int64).tolist()
+        return node, sorted(map(_signed, units)), len(distinct), (distinct[:SKETCH] >> np.uint64(33)).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(t.as_py()) for t in b.column(1)]
             cols = list(zip(*got)) if got else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], names=names
+                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int64()), pa.array(list(cols[3]), pa.list_(pa.int32()))], names=names
             )
 
     return src.mapInArrow(run, schema)
 
 
-def _class_links(rows: DataFrame, least: float) -> DataFrame:
-    """Links within each (class, block pair) of ``rows``: class, bi, bj, node, shingles, sketch."""
+def _class_links(rows: DataFrame, least: float, sure: float) -> DataFrame:
+    """Links within each (class, block pair) of ``rows``: class, bi, bj, own (a node's block), node, shingles, sketch."""
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "class", "bi", "bj").sortWithinPartitions("class", "bi", "bj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
+        at, group, sides = None, [], []
 
         def links():
-            found = sketch_links(group, least) if len(group) > 1 else []
+            found = sketch_links(group, np.array(sides), least, sure) if len(group) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            nodes, sizes = b.column(3).to_pylist(), b.column(4).to_pylist()
+            own, nodes, sizes = (b.column(i).to_pylist() for i in (3, 4, 5))
             for i, key in enumerate(keys):
                 if key != at:
                     if group:
                         yield links()
-                    at, group = key, []
-                group.append((nodes[i], sizes[i], b.column(5)[i].values.to_numpy()))
+                    at, group, sides = key, [], []
+                group.append((nodes[i], sizes[i], b.column(6)[i].values.to_numpy()))
+                sides.append(own[i] != key[1])
         if group:
             yield links()
 
-    return dealt.select("class", "bi", "bj", "node", "shingles", "sketch").mapInArrow(run, "a long, b long")
+    return dealt.select("class", "bi", "bj", "own", "node", "shingles", "sketch").mapInArrow(run, "a long, b long")
 
 
 def _verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
@@ -294,12 +316,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts of equal words are one node. A text's units are the SimHashes of the
     whole text and of ``PASSAGES`` passages with the least hashes, cut where a
-    shingle's hash says so (``PASSAGE`` shingles on average). Units link as
+    shingle's hash says so (``PASSAGE`` shingles on average; in texts of up to
+    ``SHORT`` shingles each one is a passage). Units link as
     fingerprints do, by Golay keys; linked units are a class. Nodes of one
     class that share enough of their units are compared by sketches of their
     shingles, a class of up to ``BLOCK`` at once, a larger one in blocks, each
     block with each; forests that span the similar ones are kept and their links
-    verified on the whole shingle sets.
+    verified on the whole shingle sets. So a class of n nodes gives some 2 n links
+    to verify, not all its pairs.
 
     Two texts of similarity 0.8 share about two thirds of their passages, so
     that a pair without a shared unit is rarer than one in a thousand, and
@@ -328,10 +352,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = many.withColumn("own", own).select("class", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "own").select(
-        "class", "node", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")
+        "class", "node", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")
     )
     sketches = features.select("node", "shingles", "sketch").join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
-    rough = _class_links(pairs.join(sketches, "node"), threshold - 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5)
+    error = (threshold * (1 - threshold) / SKETCH) ** 0.5
+    rough = _class_links(pairs.join(sketches, "node"), threshold - 4 * error, threshold + error)
     links = cut(two.union(rough).distinct())
     good = _verified(links, docs, first.select("node", id_col), id_col, text_col, shingle, threshold)
     groups = components(good)
