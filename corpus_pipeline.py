@@ -24,31 +24,42 @@ from vocatlas.session import scratch_path
 LANGUAGE_SCORE = 0.5
 
 
-def _carry(docs: DataFrame, *but: str) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in but)
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all other columns in one, ``rest``: whatever their
+    names, they can't clash with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("_"), *rest).alias("rest"))
+
+
+def _as(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``_wrapped`` rows with the columns of ``docs``."""
+    return rows.select(*(c if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labels, doesn't predict to be toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model, carry=_carry(docs, "doc_id")).where("predicted = 0").select(docs.columns)
+    return _as(toxicity.score(_wrapped(docs), model, carry=("text", "rest")).where("predicted = 0"), docs)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some learned language for certain."""
-    judged = language_id.identify(docs, language_id.fit(docs), carry=_carry(docs, "doc_id"))
-    return judged.where(f"lang_pred != 'und' and score >= {LANGUAGE_SCORE}").select(docs.columns)
+    """Documents in some learned language for certain; all, where no labelled text is."""
+    model = language_id.fit(docs)
+    if not model.langs:
+        return docs
+    judged = language_id.identify(_wrapped(docs), model, carry=("text", "rest"))
+    return _as(judged.where(f"lang_pred != 'und' and score >= {LANGUAGE_SCORE}"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first by id, of each group of near copies."""
-    return near_dedup.drop_near_copies(docs).select(docs.columns)
+    return _as(near_dedup.drop_near_copies(_wrapped(docs)), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), carry=_carry(docs, "doc_id"))
-    return marked.where(~F.col("contaminated")).select(docs.columns)
+    marked = decontaminate.mark(_wrapped(docs), table(spark, sf_dir, "benchmark"), carry=("text", "rest"))
+    return _as(marked.where(~F.col("contaminated")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (at least one text); bounds a worker's memory.
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocatlas.llm.base import table
+from vocatlas.llm.base import small_batches, table
 from vocatlas.llm.bytewords import Lookup, Words, chunks, grams, tokenize
 from vocatlas.session import scratch_path
 
 WINDOW = 10
 GRAM = 5
-#: Of a broadcast block of the benchmark; about 60 bytes of memory each.
-MAX_WORDS = 1_000_000
+#: Of a broadcast block of the benchmark; each is up to half a kilobyte of a worker's memory.
+MAX_WORDS = 200_000
 
 
 def winnow(h: np.ndarray, text: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +147,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """``id_col``, the ``carry`` columns, n_words, n_hit, n_items, items_sha256
     and contaminated. ``benchmark``: item_id, text."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
     size = int(items.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // 2  # words at most
     blocks = -(-size // max_words) or 1

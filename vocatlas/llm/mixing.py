@@ -22,7 +22,8 @@ Defined results: null keys are a value of their own, ``''``. Texts that are
 null or without words have no tokens; a cell without tokens has probability 0,
 and so has every document without tokens. Repeated rows share their fate, as
 do all rows of one id. An empty table gives no rows. Columns other than those
-named are not read, except by ``sample``, which keeps them.
+named are kept as they are, but for ``probability`` and ``sampled``, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -110,17 +111,20 @@ def unit(doc_id: Column, seed: int = SEED) -> Column:
 
 def with_probability(docs: DataFrame, cells: DataFrame, keys=KEYS, tokens: str = "n_tokens", max_cells: int = MAX_CELLS) -> DataFrame:
     """``docs`` with ``probability`` of their cell."""
-    small = cells.select(*(F.col(k).alias(f"__{k}") for k in keys), "probability")
+    names = [f"__cell_{i}" for i in range(len(keys))]
+    small = cells.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("probability").alias("__probability"))
     if small.limit(max_cells + 1).count() <= max_cells:
         small = F.broadcast(small)
-    on = [F.coalesce(docs[k].cast("string"), F.lit("")) == small[f"__{k}"] for k in keys]
-    out = docs.join(small, on, "left").drop(*(f"__{k}" for k in keys))
-    return out.withColumn("probability", F.when(F.col(tokens) > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0)))
+    docs = docs.drop("probability", *names, "__probability")
+    on = [F.coalesce(F.col(k).cast("string"), F.lit("")) == F.col(n) for k, n in zip(keys, names)]
+    p = F.when(F.col(tokens) > 0, F.coalesce("__probability", F.lit(0.0))).otherwise(F.lit(0.0))
+    return docs.join(small, on, "left").withColumn("probability", p).drop(*names, "__probability")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", keys=KEYS, tokens: str = "n_tokens", budget: float = BUDGET, seed: int = SEED, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """``docs`` (``id_col``, ``keys``, ``tokens`` and any others) with
     ``probability`` and ``sampled``."""
+    docs = docs.drop("sampled")
     cells = cut(calibrate(rake(cut(cells_of(docs, keys, tokens)), keys, targets=targets), budget))
     return with_probability(docs, cells, keys, tokens).withColumn("sampled", unit(F.col(id_col), seed) < F.col("probability"))
 

@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vocatlas.llm.base import ascii_lower, id_crc, table
+from vocatlas.llm.base import ascii_lower, id_crc, small_batches, table
 from vocatlas.llm.bytewords import Lookup, Words, chunks, hash_words, tokenize
 
 TRAIN_DOCS = 40_000
@@ -46,6 +47,9 @@ Z_MIN = 4.0
 PRIOR = 0.1
 DRIFT = 0.05
 E_MAX = 0.05
+PASSAGE = T.StructType(
+    [T.StructField(n, t) for n, t in (("first_word", T.IntegerType()), ("last_word", T.IntegerType()), ("score", T.DoubleType()), ("e_value", T.DoubleType()), ("text", T.StringType()))]
+)
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -176,11 +180,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def _apply(docs: DataFrame, model: Model, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [id_col, *carry]
     src = docs.select(*cols, F.col(text_col).alias("__text"))
-    passage = "array<struct<first_word:int,last_word:int,score:double,e_value:double,text:string>>"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema] + ["stat double", f"passages {passage}"])
+    schema = T.StructType([*docs.select(*cols).schema, T.StructField("stat", T.DoubleType()), T.StructField("passages", T.ArrayType(PASSAGE))])
     arrow = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
