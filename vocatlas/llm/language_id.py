@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocatlas.llm.base import id_crc, table
+from vocatlas.llm.base import id_crc, small_batches, table
 
 DOCS_PER_LANG = 256
 CHARS_PER_DOC = 400
@@ -39,7 +39,7 @@ ALPHABET = 62
 MAX_LANGS = 256
 BLOCK = 1024
 #: Characters that a worker parses at once; bounds its memory.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 SPACE = 0
 
 
@@ -93,9 +93,9 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 class Model:
     """The stacked automata of all languages.
 
-    ``table[state * width + symbol]`` holds ``2 * next + ended``: where no
-    transition exists the phrase has ended and the next one begins with the
-    symbol.
+    ``table[state * width + symbol]`` holds ``4 * next + ended``: where no
+    transition exists one phrase has ended and the next begins with the symbol,
+    or, if the language lacks the symbol, that is a phrase of its own.
     """
 
     def __init__(self, texts: list[tuple[str, str]], chars_per_lang: int = CHARS_PER_LANG, alphabet: int = ALPHABET):
@@ -121,13 +121,14 @@ class Model:
             seq = self._squeeze([self.symbols.get(c, self.width - 1) if c.isalpha() else SPACE for c in lowered[lang]])
             nxt = suffix_automaton(seq)
             t = np.empty((len(nxt), self.width), np.int32)
-            first = np.full(self.width, 2 * base + 1, np.int32)
+            first = np.full(self.width, 4 * base + 2, np.int32)
             for c, s in nxt[0].items():
-                first[c] = 2 * (base + s) + 1
+                first[c] = 4 * (base + s) + 1
             t[:] = first
+            t[0] -= 1  # at the root no phrase is open
             for s, out in enumerate(nxt):
                 for c, to in out.items():
-                    t[s, c] = 2 * (base + to)
+                    t[s, c] = 4 * (base + to)
             rows.append(t)
             self.roots.append(base)
             self.bits.append(float(np.log2(max(2, len(seq)))))
@@ -172,6 +173,7 @@ class Parser:
         first[1:] = np.cumsum(lens)[:-1]
         inside = first[first < len(codes)]
         keep[inside] = codes[inside] != SPACE
+        keep[np.cumsum(lens)[:-1] - 1] = False  # what joins the texts
         codes, doc = codes[keep], doc[keep]
         letters = np.bincount(doc[codes != SPACE], minlength=n) > 0
         count = np.zeros((n, len(m.langs)), np.int64)
@@ -193,9 +195,9 @@ class Parser:
         for i, a in enumerate(alive.tolist()):
             c = codes[start[:a] + i].astype(np.int32)
             v = t[state[:, :a] * width + c]
-            ended[:, :a] += v & 1
-            state[:, :a] = v >> 1
-        ended += 1  # the last phrase of a block
+            ended[:, :a] += v & 3
+            state[:, :a] = v >> 2
+        ended += state != np.array(m.roots, np.int32)[:, None]  # the last phrase of a block
         for j in range(k):
             count[:, j] = np.bincount(of, weights=ended[j], minlength=n)
         return count, letters
@@ -218,6 +220,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     winner's share when each language's cost in bits is read as a likelihood).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     cols = [id_col, *carry]
     src = docs.select(*cols, F.col(text_col).alias("__text"))
