@@ -62,6 +62,9 @@ def test_save_and_load(spark, idx, tmp_path):
     assert back.analyzer == "english" and index.total_docs(back) == 6 and index.read_manifest(spark, str(tmp_path / "i"))["kind"] == "base"
     assert index.fetch(back, "CAPEC-5").first().raw == "Guessing"
     assert back.postings.where("token = 'guess' and doc_id = 'T2000'").first().positions == [0, 3]
+    q = spark.createDataFrame([("q", "guess keys guess authentication")], "query_id string, text string")
+    found = lambda i: {r.doc_id: r.score for r in bm25.scores(i, q).collect()}
+    assert found(back) == pytest.approx(found(idx)) and len(found(back)) == 4
     with pytest.raises(ValueError):
         index.save(index.build(spark.createDataFrame([], "doc_id string, text string")), str(tmp_path / "e"))
 

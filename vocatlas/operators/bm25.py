@@ -30,6 +30,15 @@ def weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: flo
     return idf * tf / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl))
 
 
+def _hits(analyzed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, doc_id, qtf, tf, dl, df) of the queries' tokens, straight from
+    analyzed documents: other tokens are never shuffled."""
+    each = analyzed.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token"))
+    counted = each.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    df = counted.groupBy("token").agg(F.count("*").alias("df"))
+    return counted.join(asked.join(df, "token"), "token")
+
+
 def scores(index: Index, queries: DataFrame, field: str = "contents", k1: float = K1, b: float = B, col: str = "text") -> DataFrame:
     """``query_id``, ``doc_id`` and ``score`` of all documents that share a token with a query."""
     lengths = index.doc_stats.where(F.col("field") == field)
@@ -37,6 +46,10 @@ def scores(index: Index, queries: DataFrame, field: str = "contents", k1: float
     if not whole["n"]:
         return queries.select("query_id").join(index.docs.select("doc_id"), F.lit(False)).withColumn("score", F.lit(0.0))
     asked = query_tokens(queries, index.analyzer, col)
+    if index.analyzed is not None:
+        hits = _hits(index.analyzed.where(F.col("field") == field), asked)
+        one = F.col("qtf") * weight(F.col("tf"), F.col("dl"), F.col("df"), F.lit(float(whole["n"])), F.lit(float(whole["avgdl"])), k1, b)
+        return hits.groupBy("query_id", "doc_id").agg(F.sum(one).alias("score"))
     # Only the queries' tokens leave the postings and the statistics.
     stats = index.term_stats.where(F.col("field") == field).select("token", "df").join(asked, "token")
     hits = index.postings.where(F.col("field") == field).select("token", "doc_id", "tf").join(stats, "token")

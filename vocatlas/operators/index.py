@@ -25,13 +25,18 @@ PARTS = ("postings", "doc_stats", "term_stats", "docs")
 @dataclass
 class Index:
     """``postings`` (field, token, doc_id, tf, positions), ``doc_stats``
-    (field, doc_id, dl), ``term_stats`` (field, token, df, cf), ``docs`` (doc_id, raw)."""
+    (field, doc_id, dl), ``term_stats`` (field, token, df, cf), ``docs`` (doc_id, raw).
+
+    ``analyzed`` (field, doc_id, tokens) is what an index that isn't saved was made
+    of: a search of it filters tokens before anything is shuffled.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
     docs: DataFrame
     analyzer: str = "simple"
+    analyzed: DataFrame | None = None
 
 
 def build(docs: DataFrame, analyzer: str = "simple", fields: dict[str, str] | None = None) -> Index:
@@ -42,15 +47,16 @@ def build(docs: DataFrame, analyzer: str = "simple", fields: dict[str, str] | No
     doc_stats = analyzed.select("field", "doc_id", F.size("tokens").cast("long").alias("dl"))
     found = analyzed.select("field", "doc_id", F.posexplode("tokens").alias("pos", "token"))
     postings = found.groupBy("field", "token", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, doc_stats, _term_stats(analyzed), docs.select("doc_id", F.col(fields.get("contents", next(iter(fields.values())))).alias("raw")), analyzer)
+    return Index(postings, doc_stats, _term_stats(analyzed), docs.select("doc_id", F.col(fields.get("contents", next(iter(fields.values())))).alias("raw")), analyzer, analyzed)
 
 
 def _term_stats(analyzed: DataFrame) -> DataFrame:
-    """Document and collection frequency from (field, doc_id, tokens): a token's
-    first place in its document counts for the document."""
-    at = analyzed.select("field", "tokens", F.posexplode("tokens").alias("pos", "token"))
-    first = (F.array_position("tokens", F.col("token")) == F.col("pos") + 1).cast("long")
-    return at.select("field", "token", first.alias("first")).groupBy("field", "token").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
+    """Document and collection frequency from (field, doc_id, tokens): each
+    distinct token counts for its document, each token for the collection."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    counted = lambda df, cf: lambda t: F.struct(t.alias("token"), df.alias("df"), cf.alias("cf"))
+    rows = F.concat(F.transform(F.array_distinct("tokens"), counted(one, none)), F.transform("tokens", counted(none, one)))
+    return analyzed.select("field", F.inline(rows)).groupBy("field", "token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def with_expansion(docs: DataFrame, expansions: DataFrame) -> DataFrame:
