@@ -128,17 +128,18 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after all documents were inserted under one tokenizer version,
     revised to the next, the first of these batches delivered twice, and the
     documents labelled of low quality deleted."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = table(spark, sf_dir, "labels")
-    bad = labels.where("quality = 0").select("doc_id").distinct()
-    old, new = (v for v in TOKENIZERS)
-    first = signed(docs, 1, old, count(F.col("text"), old))
+    old, new = TOKENIZERS
+    text = F.col("text")
+    # Counted before any join, so that no text is ever shuffled.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", count(text, old).alias("old"), count(text, new).alias("new"))
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    first = signed(docs, 1, old, F.col("old"))
     store = Store(spark, scratch_path(spark, "token-rollups"))
     store.commit("0-insert", first)
-    store.commit("1-revise", revised(docs, (old, count(F.col("text"), old)), (new, count(F.col("text"), new))))
+    store.commit("1-revise", revised(docs, (old, F.col("old")), (new, F.col("new"))))
     store.commit("0-insert", first)
     store.compact()
-    store.commit("2-delete", signed(docs.join(bad, "doc_id", "left_semi"), -1, new, count(F.col("text"), new)))
+    store.commit("2-delete", signed(docs.join(bad, "doc_id", "left_semi"), -1, new, F.col("new")))
     return store.totals()
 
 
