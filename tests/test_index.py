@@ -108,6 +108,13 @@ def test_extensions(spark, idx):
     assert mixed == {"CVE-2030-1": pytest.approx(0.4), "CWE-20": pytest.approx(0.6)}
 
 
+def test_dense_search_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)], "doc_id long, embedding array<double>")
+    q = v.where("doc_id < 6").withColumnRenamed("doc_id", "query_id")
+    got = [sorted((r.query_id, r.rank, r.doc_id) for r in bm25.dense_search(v, q, 3, block).collect()) for block in (1, 4, 100)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 18 and (0, 1, 15) in got[0]
+
+
 def test_empty_index(spark):
     empty = index.build(spark.createDataFrame([], "doc_id string, text string"))
     assert bm25.search(empty, spark.createDataFrame([("q", "x")], "query_id string, text string")).isEmpty()

@@ -498,9 +498,8 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"
 def dense_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated set of query vectors against all vectors, by cosine."""
     v = _read(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    s = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), bm25.cosine(F.col("e"), F.col("embedding")).alias("score"))
-    return bm25.top(s, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return bm25.dense_search(v.select(F.col("vec_id").alias("doc_id"), "embedding"), q, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {INDEX_SQL}, ex AS (SELECT item_id AS query_id, k AS ord, split_part(text, '.', k + 2) AS text FROM benchmark CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)),
