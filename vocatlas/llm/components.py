@@ -40,12 +40,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links of a node to itself and repeated links are of no effect, null ends
     are dropped, and without links the result is empty.
     """
-    cur = cut(
-        links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .where(f"{a} is not null and {b} is not null" if (a, b) == ("a", "b") else "a is not null and b is not null")
-        .where("a != b")
-        .distinct()
-    )
+    whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cur = cut(whole.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
     signs = None
     for _ in range(MAX_ROUNDS):
         nxt = cut(_small_star(_large_star(cur)))
