@@ -11,27 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vocatlas.llm.base import partitions
 from vocatlas.session import cut
 
+#: Links of a task: fewer links take fewer tasks than a shuffle has partitions.
+LINKS_PER_TASK = 50_000
 #: Steps needed grow with the log of the longest chain; this is for chains beyond any data.
 MAX_ROUNDS = 60
 
 
-def _least(links: DataFrame, key: str, other: str) -> DataFrame:
-    return links.groupBy(key).agg(F.min(other).alias("m")).select(key, F.least(key, "m").alias("m"))
-
-
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, tasks: int) -> DataFrame:
     """Each node's larger neighbours now point at its least neighbour."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.join(_least(both, "a", "b"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
+    moved = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    return moved.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
     """Each node and its smaller neighbours now point at the least of them. a > b."""
-    low = links.groupBy("a").agg(F.min("b").alias("m"))
+    low = links.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
     moved = links.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(low.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -43,13 +44,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cur = cut(whole.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
     signs = None
+    n, most = cur.count(), partitions(links.sparkSession)
     for _ in range(MAX_ROUNDS):
-        nxt = cut(_small_star(_large_star(cur)))
+        tasks = max(1, min(most, -(-n // LINKS_PER_TASK)))
+        nxt = cut(_small_star(_large_star(cur.coalesce(tasks), tasks), tasks))
         now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         cur = nxt
         if now == signs or now[0] == 0:
             break
-        signs = now
+        signs, n = now, now[0]
     else:
         raise RuntimeError("links did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -53,8 +53,8 @@ SHARE = 0.25
 #: Shingle hashes of a sketch; links kept of similar texts: so many spanning forests.
 SKETCH, FORESTS = 128, 2
 #: Nodes of a class compared at once; classes beyond it that a node is compared in.
-BLOCK, LARGE_CLASSES = 256, 4
-#: Ids that may be broadcast, 8 bytes each.
+BLOCK, LARGE_CLASSES = 256, 3
+#: Ids or keys that may be broadcast, 8 or 16 bytes each.
 MAX_BROADCAST = 250_000
 
 
@@ -146,7 +146,10 @@ def hamming_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     size = cut(size)
     near = F.bit_count(F.expr("a ^ b")) <= RADIUS
     pairs = size.where("n = 2").where(near).select("a", "b")
-    shared = cut(_golay_rows(distinct).join(size.where("n > 2").select("key", "n"), "key"))
+    crowded = size.where("n > 2").select("key", "n")
+    if crowded.count() <= MAX_BROADCAST:
+        crowded = F.broadcast(crowded)
+    shared = cut(_golay_rows(distinct).join(crowded, "key"))
     small = shared.where(F.col("n") <= bucket).select("key", "fp")
     pairs = pairs.union(
         small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").where("a < b").where(near).select("a", "b")
