@@ -397,7 +397,7 @@ def index_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("too_common", index.too_common(F.col("doc_freq"), F.lit(docs.count())))
 
 
-@query(f"""WITH {INDEX_SQL}, t AS (SELECT unnest([0.05, 0.1, 0.15, 0.25, 0.3]) AS ratio)
+@query(f"""WITH {INDEX_SQL}, t AS (SELECT unnest([0.05, 0.1, 0.15, 0.25, 0.3]::DOUBLE[]) AS ratio)
 SELECT ratio, sum(CASE WHEN df / (SELECT n FROM whole) > ratio THEN 0 ELSE 1 END)::BIGINT AS accepted, sum(CASE WHEN df / (SELECT n FROM whole) > ratio THEN 1 ELSE 0 END)::BIGINT AS rejected
 FROM tstat CROSS JOIN t GROUP BY ratio""")
 def index_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
