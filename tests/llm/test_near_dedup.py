@@ -143,3 +143,49 @@ def test_dropping_copies(spark):
     kept = N.drop_near_copies(docs).select(docs.columns)
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], rows[3], rows[4], rows[5]], key=str)
     assert N.drop_near_copies(docs.limit(0)).isEmpty()
+
+
+def test_failed_candidates_hide_no_true_link():
+    """Likelier pairs that fail leave the less likely ones to be verified, within a block and across."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.choice(1 << 30, 450, replace=False)).astype(np.int32)
+
+    def edited(share):
+        kept = rng.random(len(base)) >= share
+        return np.unique(np.r_[base[kept], rng.choice(1 << 30, int((~kept).sum())).astype(np.int32)])
+
+    # Mutual similarities lie on both sides of 0.8.
+    members = [(i, edited(0.057)) for i in range(60)]
+    exact = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    for side in (np.zeros(60, bool), np.arange(60) >= 30):
+        two = side.any()
+        want = [(i, j) for i in range(60) for j in range(i) if (not two or side[i] != side[j]) and exact(members[i][1], members[j][1]) >= 0.8]
+        assert 0 < len(want) < 30 * 30
+        got = N.similar_links(members, side, 0.66, 0.8)
+        assert groups(got, range(60)) == groups(want, range(60))
+        assert {(max(x), min(x)) for x in got} <= set(want)
+
+
+def all_pairs_groups(docs):
+    """Groups of two or more by the similarity of all pairs."""
+    rows = [(r.doc_id, r.text.split()) for r in docs.collect()]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, w in rows]
+    same = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = groups([(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if same(sets[i], sets[j])], {i for i, _ in rows})
+    return {k: v for k, v in want.items() if sum(1 for x in want.values() if x == v) > 1}
+
+
+def test_groups_of_edits_of_a_lost_original(spark, monkeypatch):
+    """Families whose mutual similarity lies on both sides of 0.8, in several blocks."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    rng = random.Random(23)
+    texts = []
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(454)]
+        for c in range(60):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randrange(5, 8)):
+                w[at] = f"e{f}x{c}y{at}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == all_pairs_groups(docs)

@@ -50,10 +50,12 @@ PASSAGE, PASSAGES = 8, 8
 SHORT = 40
 #: Least share of a text's units that other texts must share.
 SHARE = 0.25
-#: Shingle hashes of a sketch; links kept of similar texts: so many spanning forests.
-SKETCH, FORESTS = 128, 2
-#: Nodes of a class compared at once; classes beyond it that a node is compared in.
-BLOCK, LARGE_CLASSES = 256, 3
+#: Shingle hashes of a sketch.
+SKETCH = 128
+#: Nodes of a class compared at once, and their shingles on average.
+BLOCK, BLOCK_SHINGLES = 256, 2048
+#: Classes beyond ``BLOCK`` nodes that a node is compared in.
+LARGE_CLASSES = 3
 #: Ids or keys that may be broadcast, 8 or 16 bytes each.
 MAX_BROADCAST = 250_000
 
@@ -171,16 +173,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-def sketch_links(members: list[tuple[int, int, np.ndarray]], side: np.ndarray, least: float, sure: float, forests: int = FORESTS) -> list[tuple[int, int]]:
-    """Links between (node, shingles, sketch) whose estimated Jaccard
-    similarity is ``least`` or more: ``forests`` spanning forests, each the best
-    of the links that the earlier ones left.
+def similar_links(members: list[tuple[int, np.ndarray]], side: np.ndarray, least: float, threshold: float) -> list[tuple[int, int]]:
+    """Links between (node, sorted shingle hashes) that span all pairs of a
+    Jaccard similarity of ``threshold`` or more whose sketches' estimate is ``least`` or more.
 
-    ``side`` tells two blocks apart. Links within a block are another group's;
-    here they only join, where ``sure``, what needs no link across.
+    Pairs are verified on the whole sets, the likeliest first, until none is
+    left whose ends no verified link joins. ``side`` tells two blocks apart:
+    pairs within one of two blocks are another group's.
     """
     m = len(members)
-    sketches = [x[2] for x in members]
+    sketches = [s[:SKETCH] for _, s in members]
     values, at, often = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
     shared = often > 1
     column = np.cumsum(shared) - 1
@@ -189,53 +191,58 @@ def sketch_links(members: list[tuple[int, int, np.ndarray]], side: np.ndarray, l
     has[np.repeat(np.arange(m), [len(x) for x in sketches])[keep], column[at[keep]]] = 1
     same = has @ has.T
     # A full sketch says nothing of hashes above its last one.
-    top = np.array([x[-1] if len(x) < n else np.iinfo(np.int32).max for (_, n, x) in members])
+    top = np.array([x[-1] if len(x) < len(s) else np.iinfo(np.int32).max for x, (_, s) in zip(sketches, members)])
     upto = np.minimum(top[:, None], top[None, :])
     size = np.stack([np.searchsorted(x, upto[i], side="right") for i, x in enumerate(sketches)])
     likely = same / np.maximum(1, size + size.T - same)
     two = side.any() and not side.all()
-    across = side[:, None] != side[None, :]
-    a, b = np.nonzero(np.triu((likely >= least) & (across if two else True), 1))
+    a, b = np.nonzero(np.triu((likely >= least) & (side[:, None] != side[None, :] if two else True), 1))
+    if not len(a):
+        return []
     order = np.argsort(-likely[a, b], kind="stable")
-    pairs = list(zip(a[order].tolist(), b[order].tolist()))
-    known = np.argwhere(np.triu((likely >= sure) & ~across, 1)).tolist() if two else []
+    # Sets as bits, a column for each hash that two members share.
+    values, at, often = np.unique(np.concatenate([s for _, s in members]), return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = np.cumsum(shared) - 1
+    width = -(-int(shared.sum()) // 64)
+    bits, i = np.zeros((m, width), np.uint64), 0
+    for j, (_, s) in enumerate(members):
+        mine = at[i : i + len(s)]
+        flags = np.zeros(64 * width, np.uint8)
+        flags[column[mine[shared[mine]]]] = 1
+        bits[j] = np.packbits(flags).view(np.uint64)
+        i += len(s)
+    root = list(range(m))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     out = []
-    for _ in range(forests):
-        root = list(range(m))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in known:
-            root[find(i)] = find(j)
-        rest = []
-        for i, j in pairs:
-            x, y = find(i), find(j)
-            if x == y:
-                rest.append((i, j))
-            else:
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = find(i), find(j)
+        if x != y:
+            n = int(np.bitwise_count(bits[i] & bits[j]).sum())
+            if n >= threshold * (len(members[i][1]) + len(members[j][1]) - n):
                 root[x] = y
                 out.append((members[i][0], members[j][0]))
-        pairs = rest
     return out
 
 
 def passage_features(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
     """``id_col``, ``node`` (a hash of the words; null without any), ``units``
-    (SimHashes of the whole text and of ``PASSAGES`` of its passages),
-    ``shingles`` (distinct ones) and ``sketch`` (the least ``SKETCH`` of their hashes)."""
+    (SimHashes of the whole text and of ``PASSAGES`` of its passages)."""
     src = docs.select(id_col, F.col(text_col).alias("__text"))
-    names = [id_col, "node", "units", "shingles", "sketch"]
-    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType())), T.StructField("shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.IntegerType()))])
+    names = [id_col, "node", "units"]
+    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType()))])
     small_batches(docs.sparkSession)
 
     def one(text: str | None):
         words = split_words(text)
         if not words:
-            return None, [], 0, np.zeros(0, np.int32)
+            return None, []
         h = np.concatenate([x.astype(np.uint64) for x in shingle_hashes(words, shingle)])
         distinct = np.unique(h)
         units = set()
@@ -250,21 +257,19 @@ def passage_features(docs: DataFrame, id_col: str, text_col: str, shingle: int =
             units |= {simhash(iter([np.ascontiguousarray(h[a:b]).astype(">u8")])) for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())}
         units.add(simhash(h[i : i + SHINGLES_AT_ONCE].astype(">u8") for i in range(0, len(h), SHINGLES_AT_ONCE)))
         node = _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
-        return node, sorted(map(_signed, units)), len(distinct), (distinct[:SKETCH] >> np.uint64(33)).astype(np.int32)
+        return node, sorted(map(_signed, units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(t.as_py()) for t in b.column(1)]
-            cols = list(zip(*got)) if got else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int64()), pa.array(list(cols[3]), pa.list_(pa.int32()))], names=names
-            )
+            cols = list(zip(*got)) if got else [(), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64()))], names=names)
 
     return src.mapInArrow(run, schema)
 
 
-def _class_links(rows: DataFrame, least: float, sure: float) -> DataFrame:
-    """Links within each (class, block pair) of ``rows``: class, bi, bj, own (a node's block), node, shingles, sketch."""
+def _class_links(rows: DataFrame, least: float, threshold: float) -> DataFrame:
+    """Verified links within each (class, block pair) of ``rows``: class, bi, bj, own (a node's block), node, s (its shingles)."""
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "class", "bi", "bj").sortWithinPartitions("class", "bi", "bj")
 
@@ -272,42 +277,46 @@ def _class_links(rows: DataFrame, least: float, sure: float) -> DataFrame:
         at, group, sides = None, [], []
 
         def links():
-            found = sketch_links(group, np.array(sides), least, sure) if len(group) > 1 else []
+            found = similar_links(group, np.array(sides), least, threshold) if len(group) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            own, nodes, sizes = (b.column(i).to_pylist() for i in (3, 4, 5))
+            own, nodes = (b.column(i).to_pylist() for i in (3, 4))
             for i, key in enumerate(keys):
                 if key != at:
                     if group:
                         yield links()
                     at, group, sides = key, [], []
-                group.append((nodes[i], sizes[i], b.column(6)[i].values.to_numpy()))
+                # A copy, as the batch would stay in memory otherwise.
+                group.append((nodes[i], b.column(5)[i].values.to_numpy().copy()))
                 sides.append(own[i] != key[1])
         if group:
             yield links()
 
-    return dealt.select("class", "bi", "bj", "own", "node", "shingles", "sketch").mapInArrow(run, "a long, b long")
+    return dealt.select("class", "bi", "bj", "own", "node", "s").mapInArrow(run, "a long, b long")
 
 
-def _verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    """The links whose texts' shingle sets have a Jaccard similarity of ``threshold`` or more.
-    ``nodes``: ``id_col`` and node, one id a node."""
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(nodes.join(ends, "node"))
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``node`` and ``s``, its text's shingles, for ``wanted``: ``id_col`` and node, one id a node."""
+    wanted = cut(wanted)
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col(id_col)).select("node", "__text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            keep = [i for i, t in enumerate(b.column(1)) if split_words(t.as_py())]
             # 32 bits of a hash: within one pair of texts they tell shingles apart.
-            out = [np.unique(np.concatenate([(x.astype(np.uint64) >> np.uint64(32)).astype(np.int64) for x in shingle_hashes(split_words(t.as_py()), shingle)])) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(x - (1 << 31)).astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["node", "s"])
+            out = [np.unique(np.concatenate([(x.astype(np.uint64) >> np.uint64(32)).astype(np.int64) for x in shingle_hashes(split_words(b.column(1)[i].as_py()), shingle)])) for i in keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([(x - (1 << 31)).astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["node", "s"])
+
+    return cut(texts.mapInArrow(sets, "node long, s array<int>").groupBy("node").agg(F.first("s").alias("s")))
+
 
-    known = cut(texts.mapInArrow(sets, "node long, s array<int>").groupBy("node").agg(F.first("s").alias("s")))
-    both = links.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+def _verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The links whose texts' shingle sets have a Jaccard similarity of ``threshold`` or more."""
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.where(same >= F.lit(threshold) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
@@ -324,9 +333,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fingerprints do, by Golay keys; linked units are a class. Nodes of one
     class that share enough of their units are compared by sketches of their
     shingles, a class of up to ``BLOCK`` at once, a larger one in blocks, each
-    block with each; forests that span the similar ones are kept and their links
-    verified on the whole shingle sets. So a class of n nodes gives some 2 n links
-    to verify, not all its pairs.
+    block with each. Every pair that a sketch doesn't rule out by four standard
+    errors is verified on the whole shingle sets unless verified links join its
+    ends already; a block pair gives only links that join something.
 
     Two texts of similarity 0.8 share about two thirds of their passages, so
     that a pair without a shared unit is rarer than one in a thousand, and
@@ -352,16 +361,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A node's large classes repeat its neighbours: the same few of them, by hash, are enough.
     rank = F.row_number().over(Window.partitionBy("node", F.col("n") > BLOCK).orderBy(F.xxhash64("class"), "class"))
     many = many.withColumn("rank", rank).where((F.col("n") <= BLOCK) | (F.col("rank") <= LARGE_CLASSES)).drop("rank")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    ends = many.select("node").union(two.select("a")).union(two.select("b")).distinct()
+    sets = _shingle_sets(first.select("node", id_col).join(ends, "node"), docs, id_col, text_col, shingle)
+    weight = many.join(sets.select("node", F.size("s").alias("w")), "node").groupBy("class").agg(F.sum("w").alias("w"))
+    many = many.join(weight, "class")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / (BLOCK * BLOCK_SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = many.withColumn("own", own).select("class", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "own").select(
         "class", "node", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")
     )
-    sketches = features.select("node", "shingles", "sketch").join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
     error = (threshold * (1 - threshold) / SKETCH) ** 0.5
-    rough = _class_links(pairs.join(sketches, "node"), threshold - 4 * error, threshold + error)
-    links = cut(two.union(rough).distinct())
-    good = _verified(links, docs, first.select("node", id_col), id_col, text_col, shingle, threshold)
+    rough = _class_links(pairs.join(sets, "node"), threshold - 4 * error, threshold)
+    good = cut(_verified(two, sets, threshold).union(rough).distinct())
     groups = components(good)
     named = first.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col(id_col).alias("first"), "copies")
     least = named.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("copies").alias("members")).where("members > 1").select("root", "group_id")
