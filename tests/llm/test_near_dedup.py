@@ -189,3 +189,24 @@ def test_groups_of_edits_of_a_lost_original(spark, monkeypatch):
             texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == all_pairs_groups(docs)
+
+
+def test_a_text_is_compared_in_all_its_large_classes(spark, monkeypatch):
+    """Pairs of texts that have all their passages from lines that many texts share."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    lines = [[f"l{k}w{i}" for i in range(100)] for k in range(20)]
+    texts = []
+    # The last five pairs differ in the least three, by hash, of their large classes.
+    for seed in [*range(150), 395, 817, 936, 1042, 1163]:
+        rng = random.Random(seed)
+        chosen = rng.sample(range(20), 4)
+        for copy in range(2):
+            rng.shuffle(chosen)
+            text = [w for k in chosen for w in lines[k]]
+            for at in rng.sample(range(len(text)), 4):
+                text[at] = f"e{seed}x{copy}y{at}"
+            texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = all_pairs_groups(docs)
+    assert set(range(300, 310)) <= set(want)
+    assert {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == want

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +54,6 @@ SHARE = 0.25
 SKETCH = 128
 #: Nodes of a class compared at once, and their shingles on average.
 BLOCK, BLOCK_SHINGLES = 256, 2048
-#: Classes beyond ``BLOCK`` nodes that a node is compared in.
-LARGE_CLASSES = 3
 #: Ids or keys that may be broadcast, 8 or 16 bytes each.
 MAX_BROADCAST = 250_000
 
@@ -335,7 +333,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles, a class of up to ``BLOCK`` at once, a larger one in blocks, each
     block with each. Every pair that a sketch doesn't rule out by four standard
     errors is verified on the whole shingle sets unless verified links join its
-    ends already; a block pair gives only links that join something.
+    ends already; a block pair gives only links that join something. A node is
+    compared in all its classes; of classes with the same nodes one is taken.
 
     Two texts of similarity 0.8 share about two thirds of their passages, so
     that a pair without a shared unit is rarer than one in a thousand, and
@@ -354,13 +353,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     incidence = units.join(classes, "fp").groupBy("node", "class").agg(F.max("shared").alias("shared"))
     enough = incidence.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.col("shared").cast("int")).alias("s")).where(F.col("s") >= F.greatest(F.lit(1), F.floor(F.col("n") * SHARE))).select("node")
     live = cut(incidence.where("shared").join(enough, "node").select("node", "class"))
-    size = live.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
-    size = cut(size)
+    # Of classes with the same nodes one is enough.
+    size = live.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    size = cut(size.groupBy("n", "a", "b", "x", "y").agg(F.min("class").alias("class")))
     two = size.where("n = 2").select("a", "b").distinct()
     many = live.join(size.where("n > 2").select("class", "n"), "class")
-    # A node's large classes repeat its neighbours: the same few of them, by hash, are enough.
-    rank = F.row_number().over(Window.partitionBy("node", F.col("n") > BLOCK).orderBy(F.xxhash64("class"), "class"))
-    many = many.withColumn("rank", rank).where((F.col("n") <= BLOCK) | (F.col("rank") <= LARGE_CLASSES)).drop("rank")
     ends = many.select("node").union(two.select("a")).union(two.select("b")).distinct()
     sets = _shingle_sets(first.select("node", id_col).join(ends, "node"), docs, id_col, text_col, shingle)
     weight = many.join(sets.select("node", F.size("s").alias("w")), "node").groupBy("class").agg(F.sum("w").alias("w"))
