@@ -93,3 +93,16 @@ def test_sample_is_bounded_and_learns_from_labels_only(spark):
     assert {lang for lang, _ in got} == {"l1", "l2"} and len(got) <= 32
     with pytest.raises(ValueError):
         L.sample(spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("lang")))
+
+
+def test_copies_and_early_texts_do_not_crowd_out_the_others(spark):
+    """Half of a language's rows copy one text that sorts first; the others still count, from anywhere in them."""
+    rng = random.Random(6)
+    texts = ["0 " + "zq " * 200] * 500 + [sentence(rng, "aa", 100) for _ in range(500)]
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = [t for _, t in L.sample(docs)]
+    assert len(set(got)) == len(got) > 150 and sum("zq" in t for t in got) <= 1
+    assert sum(not any(x.startswith(t) for x in texts) for t in got) > 100
+    seen = L.shares(got, L.CHARS_PER_LANG)
+    assert all(len(t) >= 80 for t in seen) and 23_000 < sum(map(len, seen)) + len(seen) <= L.CHARS_PER_LANG
+    assert L.shares(["abc", "", "abcdefgh"], 12) == ["abc", "", "abcdef"]

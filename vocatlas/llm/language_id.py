@@ -7,8 +7,9 @@ that text's length, estimates the cross entropy between the text and the
 language (Ziv and Merhav, 1993). The language with the least cost wins.
 
 The automata are made on the driver from a bounded sample: ``DOCS_PER_LANG``
-rows a language, ``CHARS_PER_DOC`` characters of each and ``CHARS_PER_LANG`` in
-all. They are one dense table, at most ``2 * CHARS_PER_LANG * (ALPHABET + 1) *
+distinct texts a language, ``CHARS_PER_DOC`` characters of each from a place that
+its hash says, and ``CHARS_PER_LANG`` in all, of which each sampled text has its
+share. They are one dense table, at most ``2 * CHARS_PER_LANG * (ALPHABET + 1) *
 4`` bytes a language, broadcast to the workers. ``MAX_LANGS`` bounds how many
 languages there may be; more raise an error. Texts are parsed whole, in blocks
 of ``BLOCK`` characters that begin a new phrase each, all blocks of a batch at
@@ -46,19 +47,22 @@ SPACE = 0
 def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> list[tuple[str, str]]:
     """A bounded sample of (lang, text) from rows with both.
 
-    Per language the ids are dealt to ``docs_per_lang`` cells by hash and each
-    cell gives the row with the least hash, so that only numbers are shuffled
-    and no task holds more than a row a cell.
+    Per language the texts are dealt to ``docs_per_lang`` cells by hash and each
+    cell gives the text with the least hash, so that copies count once, only
+    numbers are shuffled and no task holds more than a row a cell. Of a longer
+    text the characters begin where its hash says. Texts are in order of hash.
     """
     good = docs.where("lang is not null and text is not null").select(
-        "lang", F.xxhash64(F.lit("sample"), "doc_id").alias("h"), F.substring("text", 1, chars_per_doc).alias("text")
+        "lang", F.xxhash64(F.lit("sample"), "text").alias("h"), "text"
     ).withColumn("cell", F.pmod("h", F.lit(docs_per_lang)))
     least = good.groupBy("lang", "cell").agg(F.min("h").alias("h"))
     langs = [r.lang for r in least.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    rows = good.join(F.broadcast(least), ["lang", "cell", "h"]).groupBy("lang", "cell").agg(F.min("text").alias("text"))
-    return sorted((r.lang, r.text) for r in rows.select("lang", "cell", "text").collect())
+    at = F.pmod(F.xxhash64(F.lit("place"), "h"), F.greatest(F.lit(1), F.length("text") - F.lit(chars_per_doc - 1))).cast("int") + 1
+    part = good.join(F.broadcast(least), ["lang", "cell", "h"]).select("lang", "cell", "h", F.col("text").substr(at, F.lit(chars_per_doc)).alias("text"))
+    rows = part.groupBy("lang", "cell", "h").agg(F.min("text").alias("text")).collect()
+    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.h))]
 
 
 def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
@@ -90,6 +94,17 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def shares(texts: list[str], chars: int) -> list[str]:
+    """The start of each text, so that all have ``chars`` characters with a
+    space each: short texts are whole and the others have equal shares."""
+    left, n, out = chars, len(texts), [""] * len(texts)
+    for i in sorted(range(n), key=lambda i: len(texts[i])):
+        out[i] = texts[i][: max(0, left // n - 1)]
+        left -= len(out[i]) + 1
+        n -= 1
+    return out
+
+
 class Model:
     """The stacked automata of all languages.
 
@@ -99,11 +114,10 @@ class Model:
     """
 
     def __init__(self, texts: list[tuple[str, str]], chars_per_lang: int = CHARS_PER_LANG, alphabet: int = ALPHABET):
-        per_lang: dict[str, str] = {}
+        by_lang: dict[str, list[str]] = {}
         for lang, text in texts:
-            kept = per_lang.get(lang, "")
-            if len(kept) < chars_per_lang:
-                per_lang[lang] = (kept + " " + text)[: chars_per_lang + 1]
+            by_lang.setdefault(lang, []).append(text)
+        per_lang = {k: "".join(" " + x for x in shares(v, chars_per_lang)) for k, v in by_lang.items()}
         self.langs = sorted(per_lang)
         lowered = {k: v.lower() for k, v in per_lang.items()}
         # Each language's share counts alike, whatever its sample's length.
