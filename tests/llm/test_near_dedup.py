@@ -210,3 +210,16 @@ def test_a_text_is_compared_in_all_its_large_classes(spark, monkeypatch):
     want = all_pairs_groups(docs)
     assert set(range(300, 310)) <= set(want)
     assert {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == want
+
+
+def test_short_similar_texts_meet_for_certain(spark):
+    """Pairs of 45 shingles at 0.8; the first ones have no passage in common."""
+    texts = []
+    for seed in [2, 248, 307, 492, 531, 724, 1, 3, 4, 5]:
+        rng = random.Random(seed)
+        words = [f"s{seed}w{i}" for i in range(49)]
+        other = list(words)
+        other[rng.randrange(5, 44)] = "edit"
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == {i: i - i % 2 for i in range(len(texts))}

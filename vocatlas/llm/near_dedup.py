@@ -23,6 +23,7 @@ unless all its ids are null. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,10 +47,8 @@ SHINGLES_AT_ONCE = 1 << 16
 
 #: Shingles of a passage on average (a power of two), and passages kept of a text.
 PASSAGE, PASSAGES = 8, 8
-#: Texts of at most so many shingles have single shingles for passages.
-SHORT = 40
-#: Least share of a text's units that other texts must share.
-SHARE = 0.25
+#: Texts of at most so many shingles have single shingles for passages, as many as make finding exact.
+SHORT = 100
 #: Shingle hashes of a sketch.
 SKETCH = 128
 #: Nodes of a class compared at once, and their shingles on average.
@@ -229,39 +228,42 @@ def similar_links(members: list[tuple[int, np.ndarray]], side: np.ndarray, least
     return out
 
 
-def passage_features(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
+def passage_features(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``id_col``, ``node`` (a hash of the words; null without any), ``units``
-    (SimHashes of the whole text and of ``PASSAGES`` of its passages)."""
+    (SimHashes of the whole text and of ``PASSAGES`` of its passages) and
+    ``keys`` (hashes of single shingles of a short text)."""
     src = docs.select(id_col, F.col(text_col).alias("__text"))
-    names = [id_col, "node", "units"]
-    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType()))])
+    names = [id_col, "node", "units", "keys"]
+    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
     small_batches(docs.sparkSession)
 
     def one(text: str | None):
         words = split_words(text)
         if not words:
-            return None, []
+            return None, [], []
         h = np.concatenate([x.astype(np.uint64) for x in shingle_hashes(words, shingle)])
         distinct = np.unique(h)
-        units = set()
-        if len(h) <= SHORT:  # each shingle is a passage
-            units |= set(distinct[np.argsort(mix(distinct))[:PASSAGES]].tolist())
-        if len(h) > 0.8 * SHORT:  # so that similar texts on both sides of the limit meet
+        n = len(distinct)
+        units, keys = set(), []
+        if threshold * n <= SHORT:
+            # Two sets this similar share one of so many least hashes (prefix filter), if the smaller one is short.
+            keys = distinct[np.argsort(mix(distinct))[: n - math.ceil(threshold * n - 1e-9) + 1]].view(np.int64).tolist()
+        if n > SHORT:
             ends = np.flatnonzero((h & np.uint64(PASSAGE - 1)) == 0) + 1
             starts = np.r_[0, ends[ends < len(h)]]
             stops = np.r_[starts[1:], len(h)]
             _, first = np.unique(mix(np.add.reduceat(h, starts)), return_index=True)
             chosen = first[:PASSAGES]
             units |= {simhash(iter([np.ascontiguousarray(h[a:b]).astype(">u8")])) for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())}
-        units.add(simhash(h[i : i + SHINGLES_AT_ONCE].astype(">u8") for i in range(0, len(h), SHINGLES_AT_ONCE)))
+            units.add(simhash(h[i : i + SHINGLES_AT_ONCE].astype(">u8") for i in range(0, len(h), SHINGLES_AT_ONCE)))
         node = _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
-        return node, sorted(map(_signed, units))
+        return node, sorted(map(_signed, units)), keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(t.as_py()) for t in b.column(1)]
-            cols = list(zip(*got)) if got else [(), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64()))], names=names)
+            cols = list(zip(*got)) if got else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], names=names)
 
     return src.mapInArrow(run, schema)
 
@@ -326,21 +328,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts of equal words are one node. A text's units are the SimHashes of the
     whole text and of ``PASSAGES`` passages with the least hashes, cut where a
-    shingle's hash says so (``PASSAGE`` shingles on average; in texts of up to
-    ``SHORT`` shingles each one is a passage). Units link as
-    fingerprints do, by Golay keys; linked units are a class. Nodes of one
-    class that share enough of their units are compared by sketches of their
+    shingle's hash says so (``PASSAGE`` shingles on average). Units link as
+    fingerprints do, by Golay keys; linked units are a class. So are the texts
+    of a key: texts of up to ``SHORT`` shingles, and those that may be similar to
+    one, have so many of their least shingle hashes for keys that similar ones
+    share one for certain. Nodes of a class are compared by sketches of their
     shingles, a class of up to ``BLOCK`` at once, a larger one in blocks, each
     block with each. Every pair that a sketch doesn't rule out by four standard
     errors is verified on the whole shingle sets unless verified links join its
     ends already; a block pair gives only links that join something. A node is
     compared in all its classes; of classes with the same nodes one is taken.
 
-    Two texts of similarity 0.8 share about two thirds of their passages, so
-    that a pair without a shared unit is rarer than one in a thousand, and
-    rarer still the more alike they are.
+    Longer texts are found with a probability: of two of similarity 0.8 about
+    two thirds of the passages agree, and pairs without a common unit are lost,
+    the fewer the longer and the more alike they are.
     """
-    features = passage_features(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle)
+    features = passage_features(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, threshold)
     path = scratch_path(docs.sparkSession, "near-groups")
     features.write.parquet(path)
     features = docs.sparkSession.read.parquet(path).where("node is not null")
@@ -351,8 +354,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(hamming_links(repeated))
     classes = repeated.join(roots, repeated.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("class"), ((F.col("n") > 1) | F.col("root").isNotNull()).alias("shared"))
     incidence = units.join(classes, "fp").groupBy("node", "class").agg(F.max("shared").alias("shared"))
-    enough = incidence.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.col("shared").cast("int")).alias("s")).where(F.col("s") >= F.greatest(F.lit(1), F.floor(F.col("n") * SHARE))).select("node")
-    live = cut(incidence.where("shared").join(enough, "node").select("node", "class"))
+    keyed = features.select("node", F.explode("keys").alias("class")).distinct()
+    common = keyed.groupBy("class").count().where("count > 1").select("class")
+    live = cut(incidence.where("shared").select("node", "class").union(keyed.join(common, "class").select("node", "class")).distinct())
     # Of classes with the same nodes one is enough.
     size = live.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     size = cut(size.groupBy("n", "a", "b", "x", "y").agg(F.min("class").alias("class")))
