@@ -71,6 +71,25 @@ def test_components_of_chains_and_random_links(spark, n):
     assert got == {k: v for k, v in want.items() if any(k in p for p in links if p[0] != p[1])}
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Hubs' links are dealt to several tasks."""
+    from vocatlas.llm import components as C
+
+    monkeypatch.setattr(C, "LINKS_PER_TASK", 100)
+    links = [(0, i) for i in range(1, 900)] + [(1000, i) for i in range(1001, 1500)] + [(1499, 5000), (5000, 899)] + [(i, i + 1) for i in range(6000, 6050)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == groups(links, {x for p in links for x in p})
+
+
+def test_salted_join_is_the_join(spark):
+    from vocatlas.llm.base import salted_join
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, 1)] * 200, "k long, v long")
+    table = spark.createDataFrame([(1, "a"), (3, "b"), (3, "c"), (None, "d"), (9999, "e")], "k long, w string")
+    want = sorted((r.k, r.v, r.w) for r in rows.join(table, "k").collect())
+    assert sorted((r.k, r.v, r.w) for r in salted_join(rows, table, "k").collect()) == want
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
@@ -161,7 +180,7 @@ def test_failed_candidates_hide_no_true_link():
         two = side.any()
         want = [(i, j) for i in range(60) for j in range(i) if (not two or side[i] != side[j]) and exact(members[i][1], members[j][1]) >= 0.8]
         assert 0 < len(want) < 30 * 30
-        got = N.similar_links(members, side, 0.66, 0.8)
+        got = N.similar_links(members, side, 0.8)
         assert groups(got, range(60)) == groups(want, range(60))
         assert {(max(x), min(x)) for x in got} <= set(want)
 

@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star steps (Kiveris et al., 2014): each step
 is one shuffle of the links, and the links turn into stars around each
-component's least node. Steps are cut by ``checkpoint()``, so that a lost
+component's least node. The links of a hub are dealt to several tasks. Steps are cut by ``checkpoint()``, so that a lost
 executor costs at most one of them.
 """
 
@@ -11,28 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocatlas.llm.base import partitions
+from vocatlas.llm.base import partitions, salted_join
 from vocatlas.session import cut
 
 #: Links of a task: fewer links take fewer tasks than a shuffle has partitions.
-LINKS_PER_TASK = 50_000
+LINKS_PER_TASK = 20_000
 #: Steps needed grow with the log of the longest chain; this is for chains beyond any data.
 MAX_ROUNDS = 60
 
 
-def _large_star(links: DataFrame, tasks: int) -> DataFrame:
+def _least_joined(links: DataFrame, tasks: int, n: int) -> DataFrame:
+    """``links`` with ``m``, the least of a and its ends b."""
+    least = links.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("__n")).coalesce(tasks)
+    if tasks == 1:
+        return links.join(least.drop("__n"), "a")
+    return salted_join(links, least.drop("__n"), "a", least.drop("m"), n)
+
+
+def _large_star(links: DataFrame, tasks: int, n: int) -> DataFrame:
     """Each node's larger neighbours now point at its least neighbour."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
-    moved = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-    return moved.coalesce(tasks).distinct().coalesce(tasks)
+    moved = _least_joined(both, tasks, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    moved = moved.coalesce(tasks).distinct().coalesce(tasks)
+    return moved if tasks == 1 else cut(moved)
 
 
-def _small_star(links: DataFrame, tasks: int) -> DataFrame:
+def _small_star(links: DataFrame, tasks: int, n: int) -> DataFrame:
     """Each node and its smaller neighbours now point at the least of them. a > b."""
-    low = links.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
-    moved = links.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
+    joined = _least_joined(links, tasks, n)
+    moved = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(joined.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -47,7 +55,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     n, most = cur.count(), partitions(links.sparkSession)
     for _ in range(MAX_ROUNDS):
         tasks = max(1, min(most, -(-n // LINKS_PER_TASK)))
-        nxt = cut(_small_star(_large_star(cur.coalesce(tasks), tasks), tasks))
+        nxt = cut(_small_star(_large_star(cur.coalesce(tasks), tasks, n), tasks, n))
         now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         cur = nxt
         if now == signs or now[0] == 0:

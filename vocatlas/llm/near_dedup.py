@@ -9,10 +9,9 @@ only if they share such a point; at most 65 strings share one), which is exact
 and linear in a bucket's size. ``simhash_groups`` adds connected components.
 
 ``near_groups`` groups documents whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more. Whole-document fingerprints of such pairs
-may differ in far more than two bits, so passages are fingerprinted as well:
-a text is cut after words chosen by their hash, an edit changes the passages
-that it touches, and the others keep their fingerprints. See ``near_groups``.
+Jaccard similarity of 0.8 or more. Fingerprints of such pairs may differ in far
+more than two bits, so an exact prefix filter finds the pairs that Golay keys
+don't, and all are verified on whole shingle sets. See ``near_groups``.
 
 Defined results: null, empty and blank texts have fingerprint zero, are linked
 like any other by ``simhash_groups``, and form no group in ``near_groups``
@@ -29,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vocatlas.llm import golay
-from vocatlas.llm.base import partitions, small_batches, table
+from vocatlas.llm.base import partitions, salted_join, small_batches, table
 from vocatlas.llm.bytewords import mix
 from vocatlas.llm.components import components
 from vocatlas.session import cut, scratch_path
@@ -45,14 +44,12 @@ BUCKET = 64
 #: Shingles hashed at once; bounds a worker's memory on long texts.
 SHINGLES_AT_ONCE = 1 << 16
 
-#: Shingles of a passage on average (a power of two), and passages kept of a text.
-PASSAGE, PASSAGES = 8, 8
-#: Texts of at most so many shingles have single shingles for passages, as many as make finding exact.
-SHORT = 100
-#: Shingle hashes of a sketch.
-SKETCH = 128
+#: Texts that the order of shingles is learned from, and shingles that it knows to be common.
+SAMPLE, MAX_COMMON = 5_000, 250_000
 #: Nodes of a class compared at once, and their shingles on average.
-BLOCK, BLOCK_SHINGLES = 256, 2048
+BLOCK, BLOCK_SHINGLES = 512, 1024
+#: Shingles whose counts are added up at once.
+COLUMNS = 2048
 #: Ids or keys that may be broadcast, 8 or 16 bytes each.
 MAX_BROADCAST = 250_000
 
@@ -170,131 +167,154 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-def similar_links(members: list[tuple[int, np.ndarray]], side: np.ndarray, least: float, threshold: float) -> list[tuple[int, int]]:
-    """Links between (node, sorted shingle hashes) that span all pairs of a
-    Jaccard similarity of ``threshold`` or more whose sketches' estimate is ``least`` or more.
+def similar_links(members: list[tuple[int, np.ndarray]], side: np.ndarray, threshold: float, roots: list | None = None) -> list[tuple[int, int]]:
+    """Links between (node, sorted shingle hashes) with the closure of all pairs
+    of a Jaccard similarity of ``threshold`` or more.
 
-    Pairs are verified on the whole sets, the likeliest first, until none is
-    left whose ends no verified link joins. ``side`` tells two blocks apart:
-    pairs within one of two blocks are another group's.
+    Every pair's shingles in common are counted. ``side`` tells two blocks
+    apart: pairs within one of two blocks are another group's. Of ``roots``,
+    what the nodes are joined to already, only links between different ones are given.
     """
     m = len(members)
-    sketches = [s[:SKETCH] for _, s in members]
-    values, at, often = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-    shared = often > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[at]
-    has = np.zeros((m, int(shared.sum())), np.float32)
-    has[np.repeat(np.arange(m), [len(x) for x in sketches])[keep], column[at[keep]]] = 1
-    same = has @ has.T
-    # A full sketch says nothing of hashes above its last one.
-    top = np.array([x[-1] if len(x) < len(s) else np.iinfo(np.int32).max for x, (_, s) in zip(sketches, members)])
-    upto = np.minimum(top[:, None], top[None, :])
-    size = np.stack([np.searchsorted(x, upto[i], side="right") for i, x in enumerate(sketches)])
-    likely = same / np.maximum(1, size + size.T - same)
-    two = side.any() and not side.all()
-    a, b = np.nonzero(np.triu((likely >= least) & (side[:, None] != side[None, :] if two else True), 1))
-    if not len(a):
-        return []
-    order = np.argsort(-likely[a, b], kind="stable")
-    # Sets as bits, a column for each hash that two members share.
+    sizes = np.array([len(s) for _, s in members])
     values, at, often = np.unique(np.concatenate([s for _, s in members]), return_inverse=True, return_counts=True)
     shared = often > 1
-    column = np.cumsum(shared) - 1
-    width = -(-int(shared.sum()) // 64)
-    bits, i = np.zeros((m, width), np.uint64), 0
-    for j, (_, s) in enumerate(members):
-        mine = at[i : i + len(s)]
-        flags = np.zeros(64 * width, np.uint8)
-        flags[column[mine[shared[mine]]]] = 1
-        bits[j] = np.packbits(flags).view(np.uint64)
-        i += len(s)
-    root = list(range(m))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    column = (np.cumsum(shared) - 1)[at]
+    row = np.repeat(np.arange(m), sizes)
+    keep = shared[at]
+    order = np.argsort(column[keep], kind="stable")
+    row, column = row[keep][order], column[keep][order]
+    same = np.zeros((m, m), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        has = np.zeros((m, COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - first] = 1
+        same += has @ has.T
+    near = same >= threshold * (sizes[:, None] + sizes[None, :] - same)
+    if side.any() and not side.all():
+        near &= side[:, None] != side[None, :]
+    label = np.unique(np.arange(m) if roots is None else np.array(roots), return_inverse=True)[1]
     out = []
-    for i, j in zip(a[order].tolist(), b[order].tolist()):
-        x, y = find(i), find(j)
-        if x != y:
-            n = int(np.bitwise_count(bits[i] & bits[j]).sum())
-            if n >= threshold * (len(members[i][1]) + len(members[j][1]) - n):
-                root[x] = y
+    while True:
+        # Each piece takes one link to another piece, until there is none.
+        across = near & (label[:, None] != label[None, :])
+        able = np.flatnonzero(across.any(axis=1))
+        if not len(able):
+            return out
+        root = list(range(int(label.max()) + 1))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        _, first = np.unique(label[able], return_index=True)
+        for i in able[first].tolist():
+            j = int(across[i].argmax())
+            x, y = find(int(label[i])), find(int(label[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
                 out.append((members[i][0], members[j][0]))
-    return out
+        label = np.array([find(i) for i in range(len(root))])[label]
+
+
+def _global_order(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Places that sort distinct shingle hashes: rare ones first, by a mixed hash; one order for all texts."""
+    keys, level = common
+    rank = np.zeros(len(h), np.uint8)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        rank = np.where(keys[at] == h, level[at], 0)
+    return np.lexsort((mix(h), rank))
+
+
+def prefix_size(n: int, threshold: float) -> int:
+    """How many first shingles of a set of ``n`` surely hold one of any similar set's (prefix filter)."""
+    return n - math.ceil(threshold * n - 1e-9) + 1
+
 
+def common_shingles(docs: DataFrame, text_col: str, shingle: int, texts: int = SAMPLE, most: int = MAX_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and levels (log2 of the count) of shingles that several of a
+    sample of about ``texts`` texts have, at most ``most``.
 
-def passage_features(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``id_col``, ``node`` (a hash of the words; null without any), ``units``
-    (SimHashes of the whole text and of ``PASSAGES`` of its passages) and
-    ``keys`` (hashes of single shingles of a short text)."""
+    They only say which shingles come last in the order that the prefixes are
+    taken by: any order gives the same links, this one at less cost."""
+    parts = 1 << 30
+    share = math.ceil(parts * min(1.0, texts / max(1, docs.count())))
+    some = docs.where(F.pmod(F.xxhash64(F.lit("common"), text_col), F.lit(parts)) < share).select(F.col(text_col).alias("__text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                for h in shingle_hashes(split_words(t.as_py()), shingle):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(h.astype(np.uint64)).view(np.int64))], names=["h"])
+
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    rows = counts.orderBy(F.desc("count"), "h").limit(most).collect()
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.log2(np.array([r["count"] for r in rows] or [1], float)).astype(np.uint8)[: len(h)][order]
+
+
+def prefix_features(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, common) -> DataFrame:
+    """``id_col``, ``node`` (a hash of the words; null without any), ``fp``
+    (SimHash), ``n`` (distinct shingles) and ``keys``, the first of them in the
+    global order, as many as similar texts surely share one of."""
     src = docs.select(id_col, F.col(text_col).alias("__text"))
-    names = [id_col, "node", "units", "keys"]
-    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("units", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    names = [id_col, "node", "fp", "n", "keys"]
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, t) for c, t in zip(names[1:], (T.LongType(), T.LongType(), T.IntegerType(), T.ArrayType(T.LongType()))))])
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def one(text: str | None):
         words = split_words(text)
         if not words:
-            return None, [], []
-        h = np.concatenate([x.astype(np.uint64) for x in shingle_hashes(words, shingle)])
-        distinct = np.unique(h)
-        n = len(distinct)
-        units, keys = set(), []
-        if threshold * n <= SHORT:
-            # Two sets this similar share one of so many least hashes (prefix filter), if the smaller one is short.
-            keys = distinct[np.argsort(mix(distinct))[: n - math.ceil(threshold * n - 1e-9) + 1]].view(np.int64).tolist()
-        if n > SHORT:
-            ends = np.flatnonzero((h & np.uint64(PASSAGE - 1)) == 0) + 1
-            starts = np.r_[0, ends[ends < len(h)]]
-            stops = np.r_[starts[1:], len(h)]
-            _, first = np.unique(mix(np.add.reduceat(h, starts)), return_index=True)
-            chosen = first[:PASSAGES]
-            units |= {simhash(iter([np.ascontiguousarray(h[a:b]).astype(">u8")])) for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())}
-            units.add(simhash(h[i : i + SHINGLES_AT_ONCE].astype(">u8") for i in range(0, len(h), SHINGLES_AT_ONCE)))
-        node = _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
-        return node, sorted(map(_signed, units)), keys
+            return None, None, 0, []
+        blocks = list(shingle_hashes(words, shingle))
+        h = np.unique(np.concatenate([x.astype(np.uint64) for x in blocks]))
+        keys = h[_global_order(h, shared.value)[: prefix_size(len(h), threshold)]]
+        return _signed(xxhash.xxh3_64_intdigest(b" ".join(words))), _signed(simhash(iter(blocks))), len(h), keys.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(t.as_py()) for t in b.column(1)]
-            cols = list(zip(*got)) if got else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], names=names)
+            cols = list(zip(*got)) if got else [()] * 4
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=names)
 
     return src.mapInArrow(run, schema)
 
 
-def _class_links(rows: DataFrame, least: float, threshold: float) -> DataFrame:
-    """Verified links within each (class, block pair) of ``rows``: class, bi, bj, own (a node's block), node, s (its shingles)."""
+def _class_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links within each (class, block pair) of ``rows``: class, bi, bj, own (a
+    node's block), node, root (what it is joined to already), s (its shingles)."""
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "class", "bi", "bj").sortWithinPartitions("class", "bi", "bj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, sides = None, [], []
+        at, group, sides, roots = None, [], [], []
 
         def links():
-            found = similar_links(group, np.array(sides), least, threshold) if len(group) > 1 else []
+            found = similar_links(group, np.array(sides), threshold, roots) if len(group) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            own, nodes = (b.column(i).to_pylist() for i in (3, 4))
+            own, nodes, root = (b.column(i).to_pylist() for i in (3, 4, 5))
             for i, key in enumerate(keys):
                 if key != at:
                     if group:
                         yield links()
-                    at, group, sides = key, [], []
+                    at, group, sides, roots = key, [], [], []
                 # A copy, as the batch would stay in memory otherwise.
-                group.append((nodes[i], b.column(5)[i].values.to_numpy().copy()))
+                group.append((nodes[i], b.column(6)[i].values.to_numpy().copy()))
                 sides.append(own[i] != key[1])
+                roots.append(root[i])
         if group:
             yield links()
 
-    return dealt.select("class", "bi", "bj", "own", "node", "s").mapInArrow(run, "a long, b long")
+    return dealt.select("class", "bi", "bj", "own", "node", "root", "s").mapInArrow(run, "a long, b long")
 
 
 def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -306,9 +326,11 @@ def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [i for i, t in enumerate(b.column(1)) if split_words(t.as_py())]
+            words = [split_words(t.as_py()) for t in b.column(1)]
+            # Rows of one id may have other texts, of other nodes.
+            keep = [i for i, w in enumerate(words) if w and _signed(xxhash.xxh3_64_intdigest(b" ".join(w))) == b.column(0)[i].as_py()]
             # 32 bits of a hash: within one pair of texts they tell shingles apart.
-            out = [np.unique(np.concatenate([(x.astype(np.uint64) >> np.uint64(32)).astype(np.int64) for x in shingle_hashes(split_words(b.column(1)[i].as_py()), shingle)])) for i in keep]
+            out = [np.unique(np.concatenate([(x.astype(np.uint64) >> np.uint64(32)).astype(np.int64) for x in shingle_hashes(words[i], shingle)])) for i in keep]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([(x - (1 << 31)).astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["node", "s"])
 
     return cut(texts.mapInArrow(sets, "node long, s array<int>").groupBy("node").agg(F.first("s").alias("s")))
@@ -316,68 +338,116 @@ def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
 def _verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The links whose texts' shingle sets have a Jaccard similarity of ``threshold`` or more."""
-    both = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    first = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    second = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    both = salted_join(salted_join(links, second, "b"), first, "a")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.where(same >= F.lit(threshold) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
+def _possible(n: str, at: str, other_n: str, other_at: str, threshold: float):
+    """Whether sets of ``n`` and ``other_n`` whose first common member is at these places of the order may be similar."""
+    need = F.lit(threshold / (1 + threshold)) * (F.col(n) + F.col(other_n)) - F.lit(1e-6)
+    return F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at)) >= need
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``id_col`` and ``group_id``, the least id of the documents that are
     reached by links of similarity ``threshold`` or more. Only groups of two or
     more documents have rows.
 
-    Texts of equal words are one node. A text's units are the SimHashes of the
-    whole text and of ``PASSAGES`` passages with the least hashes, cut where a
-    shingle's hash says so (``PASSAGE`` shingles on average). Units link as
-    fingerprints do, by Golay keys; linked units are a class. So are the texts
-    of a key: texts of up to ``SHORT`` shingles, and those that may be similar to
-    one, have so many of their least shingle hashes for keys that similar ones
-    share one for certain. Nodes of a class are compared by sketches of their
-    shingles, a class of up to ``BLOCK`` at once, a larger one in blocks, each
-    block with each. Every pair that a sketch doesn't rule out by four standard
-    errors is verified on the whole shingle sets unless verified links join its
-    ends already; a block pair gives only links that join something. A node is
-    compared in all its classes; of classes with the same nodes one is taken.
-
-    Longer texts are found with a probability: of two of similarity 0.8 about
-    two thirds of the passages agree, and pairs without a common unit are lost,
-    the fewer the longer and the more alike they are.
+    Texts of equal words are one node. Candidates come from two sources. Texts
+    whose SimHashes are within two bits meet by their Golay keys. As most
+    similar texts' fingerprints are farther apart, texts also meet in the
+    classes of their first shingles in one global order, rare ones first
+    (prefix filter): similar texts surely share such a class, so that no link is
+    lost, whatever the texts' lengths. Candidates that the places of the shared
+    shingle rule out are dropped; all others are verified on whole shingle sets.
+
+    First each node is compared with one node of each of its classes, which is
+    linear and joins most of a family. Where a class is in several pieces
+    still, classes of mostly the same nodes are taken as one, and the nodes
+    outside its largest piece are compared with all its nodes, in pairs of
+    blocks of ``BLOCK``.
     """
-    features = passage_features(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, threshold)
-    path = scratch_path(docs.sparkSession, "near-groups")
-    features.write.parquet(path)
-    features = docs.sparkSession.read.parquet(path).where("node is not null")
+    spark = docs.sparkSession
+    whole = docs.where(F.col(id_col).isNotNull())
+    features = _written(prefix_features(whole, id_col, text_col, shingle, threshold, common_shingles(whole, text_col, shingle)), "near-features").where("node is not null")
     ids = features.select("node", id_col)
-    first = ids.groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
-    units = features.select("node", F.explode("units").alias("fp")).distinct()
-    repeated = units.groupBy("fp").agg(F.count("*").alias("n"))
-    roots = components(hamming_links(repeated))
-    classes = repeated.join(roots, repeated.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("class"), ((F.col("n") > 1) | F.col("root").isNotNull()).alias("shared"))
-    incidence = units.join(classes, "fp").groupBy("node", "class").agg(F.max("shared").alias("shared"))
-    keyed = features.select("node", F.explode("keys").alias("class")).distinct()
-    common = keyed.groupBy("class").count().where("count > 1").select("class")
-    live = cut(incidence.where("shared").select("node", "class").union(keyed.join(common, "class").select("node", "class")).distinct())
-    # Of classes with the same nodes one is enough.
-    size = live.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    size = cut(size.groupBy("n", "a", "b", "x", "y").agg(F.min("class").alias("class")))
-    two = size.where("n = 2").select("a", "b").distinct()
-    many = live.join(size.where("n > 2").select("class", "n"), "class")
-    ends = many.select("node").union(two.select("a")).union(two.select("b")).distinct()
-    sets = _shingle_sets(first.select("node", id_col).join(ends, "node"), docs, id_col, text_col, shingle)
-    weight = many.join(sets.select("node", F.size("s").alias("w")), "node").groupBy("class").agg(F.sum("w").alias("w"))
-    many = many.join(weight, "class")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / (BLOCK * BLOCK_SHINGLES))).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = many.withColumn("own", own).select("class", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "own").select(
-        "class", "node", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")
+    nodes = _written(
+        features.groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")),
+        "near-nodes",
     )
-    error = (threshold * (1 - threshold) / SKETCH) ** 0.5
-    rough = _class_links(pairs.join(sets, "node"), threshold - 4 * error, threshold)
-    good = cut(_verified(two, sets, threshold).union(rough).distinct())
-    groups = components(good)
-    named = first.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col(id_col).alias("first"), "copies")
+    # SimHash: nodes of one fingerprint meet at the least of them, and these meet by Golay keys.
+    least_of = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("m")))
+    equal = salted_join(nodes.select("fp", "node"), least_of.where("m > 1").select("fp", "least"), "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda c: least_of.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
+    golay_links = hamming_links(least_of).join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    # Classes of first shingles.
+    index = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - F.lit(1e-6))
+    rows = nodes.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at", index.alias("index"))
+    stats = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.min(F.struct(~F.col("index"), F.xxhash64("node", "key"), "node", "n", "at")).alias("rep"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.col("at").cast("long")).alias("places"),
+    )
+    # A class needs a node that may be the smaller one of a pair; of classes with the same nodes the first in the order is enough.
+    stats = cut(stats.where("size > 1 and not rep.col1"))
+    stats = cut(stats.groupBy("size", "x", "y", "lo", "hi").agg(F.min_by(F.struct("key", "rep"), F.struct("places", "key")).alias("k")).select("k.key", "size", "k.rep"))
+    live = _written(salted_join(rows, stats, "key", counts=stats.select("key", F.col("size").alias("__n"))).select(
+        "key", "node", "n", "at", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n"), F.col("rep.at").alias("rep_at")
+    ), "near-classes")
+    star = live.where("node != rep").where(_possible("n", "at", "rep_n", "rep_at", threshold)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    candidates = cut(equal.union(golay_links).union(star).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ends = live.select("node").union(candidates.select("a")).union(candidates.select("b")).distinct()
+    sets = _shingle_sets(nodes.select("node", id_col).join(ends, "node"), docs, id_col, text_col, shingle)
+    good = cut(_verified(candidates, sets, threshold))
+    roots = cut(components(good))
+    rest = _unsettled(live, roots)
+    if not rest.isEmpty():
+        more = cut(_class_links(_blocks(rest, sets), threshold).distinct())
+        roots = cut(components(good.union(more)))
+    named = nodes.select("node", F.col(id_col).alias("first"), "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("copies").alias("members")).where("members > 1").select("root", "group_id")
-    return ids.join(named.select("node", "root").join(least, "root").select("node", "group_id"), "node").select(id_col, "group_id")
+    known = cut(salted_join(named.select("node", "root"), least, "root").select("node", "group_id"))
+    return salted_join(ids, known, "node").select(id_col, "group_id")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, from a table in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """``class``, ``node`` and ``root`` of the classes that links have not made
+    one piece, those of mostly the same nodes as one class."""
+    placed = cut(live.join(roots, "node", "left").select("key", "node", "at", "size", F.coalesce("root", "node").alias("root")))
+    pieces = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("key")
+    open_rows = cut(salted_join(placed, pieces, "key"))
+    # Neighbours in their nodes' order are the classes that may have the same nodes.
+    following = open_rows.withColumn("next", F.lead(F.struct("key", "size")).over(Window.partitionBy("node").orderBy("at"))).where("next is not null")
+    alike = following.groupBy("key", "size", "next").agg(F.count("*").alias("both")).where("2 * both >= size and 2 * both >= next.size").select(F.col("key").alias("a"), F.col("next.key").alias("b"))
+    joined = components(alike).select(F.col("node").alias("key"), F.col("root").alias("class"))
+    named = salted_join(open_rows, pieces.join(joined, "key", "left").select("key", F.coalesce("class", "key").alias("class")), "key")
+    return cut(named.select("class", "node", "root").distinct())
+
+
+def _blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rest`` with ``s``, a row for each pair of blocks (``bi``, ``bj``) of a
+    class that a node is compared in: all but its largest piece with all nodes."""
+    by_piece = cut(rest.groupBy("class", "root").agg(F.count("*").alias("m")))
+    largest = by_piece.groupBy("class").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m"))
+    sized = salted_join(rest, sets.select("node", F.size("s").alias("w")), "node")
+    weight = sized.groupBy("class").agg(F.avg("w").alias("w"))
+    info = largest.join(weight, "class").withColumn("per", F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK * BLOCK_SHINGLES)) / F.col("w"))))
+    info = cut(info.select("class", F.col("top.root").alias("top"), F.ceil((F.col("m") - F.col("top.m")) / F.col("per")).cast("int").alias("outer"), F.ceil(F.col("top.m") / F.col("per")).cast("int").alias("inner")))
+    placed = salted_join(rest, info, "class")
+    is_top = F.col("root") == F.col("top")
+    own = F.when(is_top, F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer"))).cast("int")
+    others = F.when(is_top, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
+    pairs = placed.select("class", "node", "root", own.alias("own"), others.alias("others")).join(sets, "node")
+    return pairs.select("class", "node", "root", "s", "own", F.explode("others").alias("other")).select("class", "node", "root", "s", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
