@@ -6,14 +6,16 @@ in a language's labelled text; the number of phrases, each costing the log of
 that text's length, estimates the cross entropy between the text and the
 language (Ziv and Merhav, 1993). The language with the least cost wins.
 
-The automata are made on the driver from a bounded sample: ``DOCS_PER_LANG``
-distinct texts a language, ``CHARS_PER_DOC`` characters of each from a place that
-its hash says, and ``CHARS_PER_LANG`` in all, of which each sampled text has its
-share. They are one dense table, at most ``2 * CHARS_PER_LANG * (ALPHABET + 1) *
-4`` bytes a language, broadcast to the workers. ``MAX_LANGS`` bounds how many
-languages there may be; more raise an error. Texts are parsed whole, in blocks
-of ``BLOCK`` characters that begin a new phrase each, all blocks of a batch at
-once.
+The automata are made on the driver from a bounded sample: the labelled texts
+are cut into pieces of ``PIECE`` characters, and of each language's distinct
+pieces ``PIECES_PER_LANG`` are chosen by hash, ``PIECES`` in all if the languages
+are many. Letters are lower-cased, all else is one space, and a symbol is a byte
+of UTF-8, so that no script lacks letters and an automaton's rows have 256
+entries at most. States with one transition, most of them, hold just that.
+Every language that labels a text is learned. Texts are parsed whole: blocks of
+``BLOCK`` bytes are parsed at once, each as if a phrase began there, and then
+again from where the block before it ends until both parses agree, so that the
+phrases are those of one parse from the text's start.
 
 Defined results: a null, empty or letterless text is ``und`` with score 0;
 where no labelled text exists every text is ``und`` with score 0; equal costs
@@ -23,7 +25,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,36 +35,46 @@ from pyspark.sql import functions as F
 
 from vocatlas.llm.base import id_crc, small_batches, table
 
-DOCS_PER_LANG = 256
-CHARS_PER_DOC = 400
-CHARS_PER_LANG = 24_000
-ALPHABET = 62
-MAX_LANGS = 256
-BLOCK = 1024
-#: Characters that a worker parses at once; bounds its memory.
-CHARS_AT_ONCE = 1_000_000
-SPACE = 0
-
-
-def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> list[tuple[str, str]]:
-    """A bounded sample of (lang, text) from rows with both.
-
-    Per language the texts are dealt to ``docs_per_lang`` cells by hash and each
-    cell gives the text with the least hash, so that copies count once, only
-    numbers are shuffled and no task holds more than a row a cell. Of a longer
-    text the characters begin where its hash says. Texts are in order of hash.
+PIECE = 256
+PIECES_PER_LANG = 512
+PIECES = 4_096
+BLOCK = 2048
+#: Characters, times languages, that a worker parses at once; bounds its memory.
+CHARS_AT_ONCE = 4_000_000
+def sample(docs: DataFrame, pieces_per_lang: int = PIECES_PER_LANG, chars: int = PIECE, pieces: int = PIECES) -> list[tuple[str, str]]:
+    """A bounded sample of (lang, piece of a text) from rows with both.
+
+    Every ``chars`` characters of every text are a piece. Per language the pieces
+    are dealt to ``pieces_per_lang`` cells by hash and each cell gives the one
+    with the least hash, so that copies count once, only numbers are shuffled
+    and no task holds more than a row a cell. Pieces are in order of hash.
     """
-    good = docs.where("lang is not null and text is not null").select(
-        "lang", F.xxhash64(F.lit("sample"), "text").alias("h"), "text"
-    ).withColumn("cell", F.pmod("h", F.lit(docs_per_lang)))
-    least = good.groupBy("lang", "cell").agg(F.min("h").alias("h"))
-    langs = [r.lang for r in least.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    at = F.pmod(F.xxhash64(F.lit("place"), "h"), F.greatest(F.lit(1), F.length("text") - F.lit(chars_per_doc - 1))).cast("int") + 1
-    part = good.join(F.broadcast(least), ["lang", "cell", "h"]).select("lang", "cell", "h", F.col("text").substr(at, F.lit(chars_per_doc)).alias("text"))
-    rows = part.groupBy("lang", "cell", "h").agg(F.min("text").alias("text")).collect()
-    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.h))]
+    good = docs.where("lang is not null and text is not null").select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))).alias("piece"))
+    good = good.withColumn("h", F.xxhash64(F.lit("sample"), "piece")).withColumn("cell", F.pmod("h", F.lit(pieces_per_lang)))
+    least: dict[str, list[int]] = {}
+    for r in good.groupBy("lang", "cell").agg(F.min("h").alias("h")).collect():
+        least.setdefault(r.lang, []).append(r.h)
+    if not least:
+        return []
+    share = max(1, pieces // len(least))
+    chosen = [(lang, h) for lang, hs in sorted(least.items()) for h in sorted(hs)[:share]]
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
+    rows = good.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect()
+    return [(r.lang, r.piece) for r in sorted(rows, key=lambda r: (r.lang, r.h))]
+
+
+@functools.cache
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def letters(text: str | None) -> bytes:
+    """Lower-case letters in UTF-8, one space for anything between or after them and none before."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+    good = _is_letter()[points]
+    kept = good.copy()
+    kept[1:] |= good[:-1]
+    return np.where(good, points, 32)[kept].astype(np.uint32).tobytes().decode("utf-32-le").encode()
 
 
 def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
@@ -94,64 +106,57 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def shares(texts: list[str], chars: int) -> list[str]:
-    """The start of each text, so that all have ``chars`` characters with a
-    space each: short texts are whole and the others have equal shares."""
-    left, n, out = chars, len(texts), [""] * len(texts)
-    for i in sorted(range(n), key=lambda i: len(texts[i])):
-        out[i] = texts[i][: max(0, left // n - 1)]
-        left -= len(out[i]) + 1
-        n -= 1
-    return out
-
-
 class Model:
     """The stacked automata of all languages.
 
-    ``table[state * width + symbol]`` holds ``4 * next + ended``: where no
-    transition exists one phrase has ended and the next begins with the symbol,
-    or, if the language lacks the symbol, that is a phrase of its own.
+    States of one transition go by ``symbol[s]`` to ``only[s]``; the others are
+    numbered first and have a row of ``table``. Values are ``2 * next + begins``:
+    whether a phrase begins with the symbol. Where a state lacks it, the phrase
+    has ended, and the next begins as the language's row after the states' rows
+    says; a symbol that the language lacks is a phrase of its own.
     """
 
-    def __init__(self, texts: list[tuple[str, str]], chars_per_lang: int = CHARS_PER_LANG, alphabet: int = ALPHABET):
+    def __init__(self, texts: list[tuple[str, str]]):
         by_lang: dict[str, list[str]] = {}
         for lang, text in texts:
             by_lang.setdefault(lang, []).append(text)
-        per_lang = {k: "".join(" " + x for x in shares(v, chars_per_lang)) for k, v in by_lang.items()}
-        self.langs = sorted(per_lang)
-        lowered = {k: v.lower() for k, v in per_lang.items()}
-        # Each language's share counts alike, whatever its sample's length.
-        often: Counter = Counter()
-        for text in lowered.values():
-            n = len(text)
-            for c, k in Counter(x for x in text if x.isalpha()).items():
-                often[c] += k / n
-        letters = [c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:alphabet]]
-        self.width = len(letters) + 2  # white space and signs; letters; any other letter
-        self.symbols = {c: i + 1 for i, c in enumerate(letters)}
-        rows, self.roots, self.bits = [], [], []
-        base = 0
-        for lang in self.langs:
-            seq = self._squeeze([self.symbols.get(c, self.width - 1) if c.isalpha() else SPACE for c in lowered[lang]])
-            nxt = suffix_automaton(seq)
-            t = np.empty((len(nxt), self.width), np.int32)
-            first = np.full(self.width, 4 * base + 2, np.int32)
-            for c, s in nxt[0].items():
-                first[c] = 4 * (base + s) + 1
-            t[:] = first
-            t[0] -= 1  # at the root no phrase is open
-            for s, out in enumerate(nxt):
-                for c, to in out.items():
-                    t[s, c] = 4 * (base + to)
-            rows.append(t)
-            self.roots.append(base)
-            self.bits.append(float(np.log2(max(2, len(seq)))))
-            base += len(nxt)
-        self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
-
-    @staticmethod
-    def _squeeze(seq: list[int]) -> list[int]:
-        return [c for i, c in enumerate(seq) if c != SPACE or (i and seq[i - 1] != SPACE)]
+        train = {lang: letters(" ".join(by_lang[lang])) for lang in sorted(by_lang)}
+        self.langs = list(train)
+        used = sorted(set().union(*train.values())) if train else []
+        self.width = len(used) + 1  # the last symbol is any byte that no sample has
+        self.code = np.full(256, len(used), np.int16)
+        self.code[used] = np.arange(len(used))
+        self.bits = [float(np.log2(max(2, len(text)))) for text in train.values()]
+        automata = [suffix_automaton(self.code[np.frombuffer(text, np.uint8)].tolist()) for text in train.values()]
+        # Roots count as states of several transitions.
+        wide = [np.array([i == 0 or len(out) > 1 for i, out in enumerate(states)], bool) for states in automata]
+        self.rows = sum(int(w.sum()) for w in wide)
+        rows, total = 0, self.rows
+        numbers = []
+        for w in wide:
+            number = np.empty(len(w), np.int64)
+            number[w] = rows + np.arange(int(w.sum()))
+            number[~w] = total + np.arange(int((~w).sum()))
+            rows, total = rows + int(w.sum()), total + int((~w).sum())
+            numbers.append(number)
+        self.roots = np.array([n[0] for n in numbers], np.int32)
+        self.symbol, self.only = np.full(total, -1, np.int16), np.zeros(total, np.int32)
+        self.table = np.empty((self.rows + len(train), self.width), np.int32)
+        for k, (states, number) in enumerate(zip(automata, numbers)):
+            begins = np.full(self.width, 2 * number[0] + 1, np.int32)
+            for c, to in states[0].items():
+                begins[c] = 2 * number[to] + 1
+            self.table[self.rows + k] = begins
+            for i, out in enumerate(states):
+                s = int(number[i])
+                if s < self.rows:
+                    self.table[s] = begins
+                    if i:
+                        self.table[s, list(out)] = 2 * number[list(out.values())]
+                elif out:
+                    ((c, to),) = out.items()
+                    self.symbol[s], self.only[s] = c, 2 * number[to]
+        self.table = self.table.ravel()
 
 
 class Parser:
@@ -159,74 +164,111 @@ class Parser:
 
     def __init__(self, model: Model):
         self.m = model
-        top = 0x110000
-        self.code = np.full(top, 255, np.uint8)  # not yet known
-
-    def _codes(self, cps: np.ndarray) -> np.ndarray:
-        out = self.code[cps]
-        unknown = out == 255
-        if unknown.any():
-            for cp in np.unique(cps[unknown]).tolist():
-                c = chr(cp)
-                low = c.lower()[:1]
-                self.code[cp] = self.m.symbols.get(low, self.m.width - 1) if c.isalpha() else SPACE
-            out = self.code[cps]
-        return out
+
+    def _step(self, state: np.ndarray, c: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        m = self.m
+        row = np.where(state < m.rows, state, miss)
+        row *= m.width
+        row += c
+        to = m.table.take(row, mode="clip")
+        np.copyto(to, m.only.take(state, mode="clip"), where=m.symbol.take(state, mode="clip") == c)
+        return to
+
+    def _beyond(self, codes: np.ndarray, pos: np.ndarray, end: np.ndarray, state: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        """Where the next phrase begins, from ``pos`` and ``state`` on; the text's end if none does."""
+        pos, of = pos.copy(), np.flatnonzero(pos < end)
+        state, miss = state[of], miss[of]
+        while len(of):
+            to = self._step(state, codes[pos[of]], miss)
+            on = (to & 1) == 0
+            of, state, miss = of[on], to[on] >> 1, miss[on]
+            pos[of] += 1
+            inside = pos[of] < end[of]
+            of, state, miss = of[inside], state[inside], miss[inside]
+        return pos
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language; whether each text has a letter."""
-        m, n = self.m, len(texts)
-        joined = "\n".join(texts)
-        codes = self._codes(np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32))
-        lens = np.fromiter((len(t) + 1 for t in texts), np.int64, n)
-        doc = np.repeat(np.arange(n), lens)[: len(codes)]
-        # White space and signs count once, and not at a text's start.
-        keep = codes != SPACE
-        keep[1:] |= keep[:-1]
-        first = np.zeros(n, np.int64)
-        first[1:] = np.cumsum(lens)[:-1]
-        inside = first[first < len(codes)]
-        keep[inside] = codes[inside] != SPACE
-        keep[np.cumsum(lens)[:-1] - 1] = False  # what joins the texts
-        codes, doc = codes[keep], doc[keep]
-        letters = np.bincount(doc[codes != SPACE], minlength=n) > 0
-        count = np.zeros((n, len(m.langs)), np.int64)
-        if not len(codes):
-            return count, letters
-        size = np.bincount(doc, minlength=n)
+        m, n, k = self.m, len(texts), len(self.m.langs)
+        data = [letters(t) for t in texts]
+        size = np.fromiter(map(len, data), np.int64, n)
+        total = np.zeros((n, k), np.int64)
+        if not size.sum() or not k:
+            return total, size > 0
+        codes = m.code[np.frombuffer(b"".join(data), np.uint8)]
         blocks = -(-size // BLOCK)
-        of = np.repeat(np.arange(n), blocks)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = (np.cumsum(size) - size)[of] + at * BLOCK
-        length = np.minimum(BLOCK, size[of] - at * BLOCK)
+        text = np.repeat(np.arange(n), blocks)
+        nb = len(text)
+        nth = np.arange(nb) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin, end = (np.cumsum(size) - size)[text] + nth * BLOCK, np.cumsum(size)[text]
+        length = np.minimum(BLOCK, end - begin)
+        # Each block as if a phrase began there: ``begins`` says where phrases begin, by place in the block, language and block.
         order = np.argsort(-length, kind="stable")
-        of, start, length = of[order], start[order], length[order]
-        alive = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
-        k = len(m.langs)
-        state = np.repeat(np.array(m.roots, np.int32)[:, None], len(of), axis=1)
-        ended = np.zeros((k, len(of)), np.int32)
-        width, t = np.int32(m.width), m.table
+        alive = np.searchsorted(-length[order], -np.arange(1, int(length.max()) + 1), side="right")
+        begins = np.zeros((len(alive), k, nb), np.uint8)
+        state = np.repeat(m.roots[:, None], nb, axis=1)
+        miss = np.repeat((m.rows + np.arange(k, dtype=np.int32))[:, None], nb, axis=1)
+        at = begin[order]
         for i, a in enumerate(alive.tolist()):
-            c = codes[start[:a] + i].astype(np.int32)
-            v = t[state[:, :a] * width + c]
-            ended[:, :a] += v & 3
-            state[:, :a] = v >> 2
-        ended += state != np.array(m.roots, np.int32)[:, None]  # the last phrase of a block
-        for j in range(k):
-            count[:, j] = np.bincount(of, weights=ended[j], minlength=n)
-        return count, letters
+            to = self._step(state[:, :a], codes[at[:a] + i].astype(np.int32), miss[:, :a])
+            begins[i, :, :a] = to & 1
+            state[:, :a] = to >> 1
+        items = nb * k
+        back = np.empty(nb, np.int64)
+        back[order] = np.arange(nb)
+        begins = begins[:, :, back].reshape(len(alive), items)
+        block = np.tile(np.arange(nb), k)
+        miss = miss.ravel()
+        state = state[:, back]
+        begin, end, length = begin[block], end[block], length[block]
+        # Where the parse of a block leaves off, and so that of the next has to begin.
+        left = self._beyond(codes, begin + length, end, state.ravel(), miss)
+        later = np.flatnonzero(nth[block] > 0)
+        entry = begin.copy()
+        while True:
+            wrong = later[entry[later] != left[later - 1]]
+            if not len(wrong):
+                break
+            entry[wrong] = left[wrong - 1]
+            self._again(codes, begins, begin, end, length, left, miss, wrong, entry[wrong])
+        counts = begins.sum(axis=0, dtype=np.int64)
+        np.add.at(total, (text[block], np.repeat(np.arange(k), nb)), counts)
+        return total, size > 0
+
+    def _again(self, codes, begins, begin, end, length, left, miss, of, entry) -> None:
+        """Parse blocks ``of`` anew from ``entry`` to where a phrase begins that their last parse began too."""
+        m = self.m
+        place = np.minimum(entry - begin[of], length[of])
+        for i in range(int(place.max())):
+            begins[i, of[place > i]] = 0
+        state = m.roots[miss[of] - m.rows]
+        while len(of):
+            over = place >= length[of]
+            if over.any():
+                # Not met within the block, or a phrase that began before it goes on beyond it.
+                o, p = of[over], np.maximum(begin[of[over]] + place[over], entry[over])
+                left[o] = self._beyond(codes, p, end[o], state[over], miss[o])
+                of, place, state, entry = of[~over], place[~over], state[~over], entry[~over]
+                if not len(of):
+                    return
+            to = self._step(state, codes[begin[of] + place].astype(np.int32), miss[of])
+            now = (to & 1).astype(np.uint8)
+            met = (now & begins[place, of]) == 1
+            begins[place, of] = now
+            on = ~met
+            of, place, state, entry = of[on], place[on] + 1, to[on] >> 1, entry[on]
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
         if not self.m.langs:
             return ["und"] * n, np.zeros(n)
-        count, letters = self.phrases(texts)
+        count, has_letters = self.phrases(texts)
         cost = count * np.array(self.m.bits)
         best = cost.argmin(axis=1)
         least = cost[np.arange(n), best]
         with np.errstate(under="ignore"):
             score = 1 / np.exp2(np.clip(least[:, None] - cost, -1000, 0)).sum(axis=1)
-        return [self.m.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist())], np.where(letters, score, 0.0)
+        return [self.m.langs[b] if ok else "und" for b, ok in zip(best.tolist(), has_letters.tolist())], np.where(has_letters, score, 0.0)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -242,6 +284,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(shared.value)
+        most = CHARS_AT_ONCE // max(1, len(shared.value.langs))
         for b in batches:
             texts = ["" if t is None else t for t in b.column(b.num_columns - 1).to_pylist()]
             lang: list[str] = []
@@ -249,7 +292,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             i = 0
             while i < len(texts):
                 j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j]) <= CHARS_AT_ONCE):
+                while j < len(texts) and (j == i or chars + len(texts[j]) <= most):
                     chars += len(texts[j])
                     j += 1
                 got = parser.judge(texts[i:j])
