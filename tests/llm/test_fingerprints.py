@@ -21,13 +21,32 @@ def test_next_in_descending_order(spark):
     assert I.with_next(df.limit(0), "doc_id", ["text"], "tie", 3).isEmpty()
 
 
-def test_many_rows_and_hot_ids(spark):
+def test_many_rows(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit(0).cast("long").alias("tie"))
     got = {r.doc_id: r.next_doc_id for r in I.with_next(df, "doc_id", ["doc_id"], "tie", 40).collect()}
     order = sorted(got, reverse=True)
     assert [got[i] for i in order] == order[1:] + order[:1]
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_hot_ids_are_dealt_to_many_tasks(spark, hot):
+    """A third of the rows has one id and texts of its own, another third is one row repeated."""
+    rows = [(hot, f"t{i}") for i in range(1000)] + [(500, "same")] * 1000 + [(i, f"u{i}") for i in range(1000, 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    out = I.with_next(df, "doc_id", ["doc_id", "text"], "tie", 30)
+    got = [((r.doc_id, r.text), (r.next_doc_id, r.next_text)) for r in out.collect()]
+    order = sorted(((r.doc_id, r.text, r.tie) for r in df.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), -r[2]))
+    pairs = [(a[:2], b[:2]) for a, b in zip(order, order[1:] + order[:1])]
+    assert sorted(got, key=str) == sorted(pairs, key=str)
+    keyed = df.withColumn("row", F.monotonically_increasing_id()).select(F.col("doc_id").isNotNull().cast("int").alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie", F.pmod(F.xxhash64("row"), F.lit(I.SALTS)).alias("salt"))
+    bounds = I._bounds(keyed, 30)
+    sizes = {}
+    for r in keyed.collect():
+        k = sum(b < tuple(r) for b in bounds)
+        sizes[k] = sizes.get(k, 0) + 1
+    assert max(sizes.values()) <= 250
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(4)
@@ -42,12 +61,16 @@ def test_lexicon_is_the_band(spark, texts):
     for t in texts:
         for w in set((t + " the").split()):
             df[w] = df.get(w, 0) + 1
-    bits = docs.limit(1).select(lex.alias("b")).first().b
+    lists = docs.limit(1).select(lex.alias("b")).first().b
     words = sorted(df)
     hashes = [r.h & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).orderBy("w").collect()]
-    wanted = {h >> 44 for w, h in zip(words, hashes) if max(2, 150 * 2.718281828459045**-6.5) <= df[w] <= 150 * 2.718281828459045**-2.5}
-    got = {i * 64 + j for i, b in enumerate(bits) for j in range(64) if b >> j & 1}
-    assert got == wanted and "the" in df and not any(h >> 44 in got for w, h in zip(words, hashes) if w == "the")
+    wanted = {h for w, h in zip(words, hashes) if max(2, 150 * 2.718281828459045**-6.5) <= df[w] <= 150 * 2.718281828459045**-2.5}
+    got = {h & (1 << 64) - 1 for hs in lists for h in hs}
+    assert got == wanted and "the" in df and not any(h in got for w, h in zip(words, hashes) if w == "the")
+    # A lexicon too large for a constant is joined, with the same terms.
+    joined = I.lexicon(docs, most=10)
+    plain, far = (sorted(tuple(r) for r in I.with_codes(docs, F.col("text"), x, "codes").select("doc_id", "codes").collect()) for x in (lex, joined))
+    assert plain == far and any(any(c) for _, c in plain)
 
 
 def run(spark, tmp_path, rows):
@@ -73,10 +96,10 @@ def test_query(spark, texts, tmp_path):
 def test_codes_against_plain_python(spark, texts):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:20])], "doc_id long, text string")
     lex = I.lexicon(docs, idf_min=0.1)
-    coded = I.with_codes(docs, F.col("text"), lex, "codes").withColumn("terms", I.term_hashes(F.col("text"))).withColumn("bits", lex).collect()
+    coded = I.with_codes(docs, F.col("text"), lex, "codes").withColumn("terms", I.term_hashes(F.col("text"))).withColumn("lists", lex).collect()
     for r in coded[:5]:
         full = lambda h: h & (1 << 64) - 1
-        known = sorted(h for h in r.terms if r.bits[full(h) >> 50] >> (full(h) >> 44 & 63) & 1)
+        known = sorted(h for h in r.terms if h in r.lists[full(h) >> 64 - I.SLOT_BITS])
         used = []
         for k in range(I.LEVELS):
             level = [h for h in known if full(h) & ((1 << 3 * k) - 1) == 0]

@@ -15,11 +15,11 @@ term). The likeness of two is, at the level where it is highest among those
 with at least ``MIN_SUBSETS`` used subsets (else at the first), the share of
 equal hashes among subsets that either uses; equal fingerprints have 1.
 
-The lexicon is kept as one bit for each value of ``LEXICON_BITS`` bits of a
-term's hash: its size is fixed, whatever the vocabulary, and a term is in the
-lexicon if its bit is set. A term's df counts documents. As a lexicon term is
-in at least ``N exp(-IDF_MAX)`` documents, at most ``exp(IDF_MAX)`` times the
-mean number of terms of a document can be in the lexicon.
+The lexicon is the exact set of its terms' 64-bit hashes. A term's df counts
+documents. As a lexicon term is in at least ``N exp(-IDF_MAX)`` documents, at
+most ``exp(IDF_MAX)`` times the mean number of terms of a document can be in it.
+It is counted: up to ``MAX_LEXICON`` terms go to all tasks as a constant of
+``SLOTS`` short lists, more are joined by shuffle.
 
 Defined results: null is the empty text; texts without lexicon terms have the
 fingerprint of zeros, and are alike (1) to each other and unlike (0) any other.
@@ -35,15 +35,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocatlas.llm.base import ascii_lower, partitions, table
+from vocatlas.session import cut
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 IDF_MIN, IDF_MAX = 2.5, 6.5
 MIN_DF = 2
-LEXICON_BITS = 20
+SLOT_BITS = 15
+MAX_LEXICON = 250_000
 LEVELS, SHRINK_BITS = 4, 3
 GROUPS, PARTS = 8, 4
 SUBSETS = GROUPS * PARTS
 MIN_SUBSETS = 8
+#: Salts of equal rows, and what is beyond any tie or salt.
+SALTS, LAST = 1 << 20, (1 << 63) - 1
 
 
 def term_hashes(text: Column) -> Column:
@@ -53,24 +57,37 @@ def term_hashes(text: Column) -> Column:
 
 
 def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - LEXICON_BITS)
+    return F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", idf_min: float = IDF_MIN, idf_max: float = IDF_MAX) -> Column:
-    """The lexicon's bits, as a constant array of longs that each task gets once.
-
-    At most ``2 ** (LEXICON_BITS - 6)`` rows of two numbers come to the driver.
-    """
+def lexicon_terms(docs: DataFrame, text_col: str = "text", idf_min: float = IDF_MIN, idf_max: float = IDF_MAX) -> DataFrame:
+    """``h``, the hashes of the terms in the band, as a table."""
     n = docs.count()
     low, high = max(MIN_DF, n * math.exp(-idf_max)), n * math.exp(-idf_min)
-    df = docs.select(F.explode(term_hashes(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
-    slot = _slot(F.col("h"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-    words = df.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits"))
-    out = [0] * (1 << (LEXICON_BITS - 6))
-    for r in words.collect():
-        out[r["at"]] = r["bits"]
-    return F.from_json(F.lit(str(out)), "array<bigint>")
+    return cut(docs.select(F.explode(term_hashes(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(low, high)).select("h"))
+
+
+def constant(terms: DataFrame) -> Column:
+    """A counted lexicon as a constant that each task gets once: an array of lists of hashes."""
+    out: list[list[int]] = [[] for _ in range(1 << SLOT_BITS)]
+    for r in terms.groupBy(_slot(F.col("h")).alias("at")).agg(F.collect_list("h").alias("hs")).collect():
+        out[r["at"]] = r["hs"]
+    return F.from_json(F.lit(str(out)), "array<array<bigint>>")
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", idf_min: float = IDF_MIN, idf_max: float = IDF_MAX, most: int = MAX_LEXICON) -> Column | DataFrame:
+    """The lexicon: a constant if it has at most ``most`` terms, else a frame of ``h``."""
+    terms = lexicon_terms(docs, text_col, idf_min, idf_max)
+    return constant(terms) if terms.count() <= most else terms
+
+
+def with_terms(df: DataFrame, text: Column, lex: Column | DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``: the sorted hashes of the text's distinct lexicon terms."""
+    if isinstance(lex, Column):
+        return df.withColumn(out, F.array_sort(F.filter(term_hashes(text), lambda h: F.array_contains(F.get(lex, _slot(h)), h))))
+    rows = cut(df.withColumn("__terms", term_hashes(text)).withColumn("__row", F.monotonically_increasing_id()))
+    known = rows.select("__row", F.explode("__terms").alias("h")).join(lex, "h").groupBy("__row").agg(F.array_sort(F.collect_list("h")).alias("__known"))
+    return rows.join(known, "__row", "left").withColumn(out, F.coalesce("__known", F.array().cast("array<bigint>"))).drop("__row", "__known", *(["__terms"] if out != "__terms" else []))
 
 
 def _below(h: Column, bits: int, at: int, value: Column | int) -> Column:
@@ -81,11 +98,8 @@ def _in_level(k: int):
     return lambda h: _below(h, SHRINK_BITS * k, 0, 0)
 
 
-def with_codes(df: DataFrame, text: Column, lex: Column, out: str) -> DataFrame:
+def with_codes(df: DataFrame, text: Column, lex: Column | DataFrame, out: str) -> DataFrame:
     """``df`` with ``out``: the hashes (1 to 65535; 0: no term) of all levels' subsets."""
-    known = F.array_sort(
-        F.filter(term_hashes(text), lambda h: F.call_function("getbit", F.get(lex, F.shiftright(_slot(h), 6).cast("int")), F.pmod(_slot(h), F.lit(64)).cast("int")) == 1)
-    )
     terms = F.col("__terms")
     levels = F.array(terms, *(F.filter(terms, _in_level(k)) for k in range(1, LEVELS)))
     low = SHRINK_BITS * (LEVELS - 1)
@@ -97,7 +111,7 @@ def with_codes(df: DataFrame, text: Column, lex: Column, out: str) -> DataFrame:
         groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(level, lambda h: _below(h, 3, low, g)))
         return F.flatten(F.transform(groups, lambda part: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda s: code(F.filter(part, lambda h: _below(h, 2, low + 3, s))))))
 
-    return df.withColumn("__terms", known).withColumn(out, F.flatten(F.transform(levels, subsets))).drop("__terms")
+    return with_terms(df, text, lex, "__terms").withColumn(out, F.flatten(F.transform(levels, subsets))).drop("__terms")
 
 
 def as_text(codes: Column) -> Column:
@@ -116,38 +130,65 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(best)
 
 
+def _bounds(df: DataFrame, ranges: int) -> list[tuple]:
+    """Keys (has an id, id, tie, salt) that cut ``df`` into ranges of about
+    equal size: by id, a frequent id's rows by tie, and a frequent tie's by salt."""
+    qs = [i / ranges for i in range(1, ranges)] or [0.5]
+    n, with_id, cuts = df.agg(F.count("*"), F.sum("has"), F.percentile_approx(F.when(F.col("has") == 1, F.col("id")), qs, 100 * ranges)).first()
+    cuts = cuts or []
+    hot = sorted({c for c in cuts if cuts.count(c) > 1})
+    bounds = [(1, c, LAST, LAST) for c in cuts]
+    keys = F.col("id").isin(hot) & (F.col("has") == 1) if hot else F.lit(False)
+    if (n - (with_id or 0)) * ranges > n:
+        keys |= F.col("has") == 0
+    elif not hot:
+        return sorted(set(bounds))
+    some = df.where(keys)
+    for r in some.groupBy("has", "id").agg(F.percentile_approx("tie", qs, 100 * ranges).alias("q")).collect():
+        bounds += [(r["has"], r["id"], q, LAST) for q in r["q"]]
+    for r in some.groupBy("has", "id", "tie").count().where(F.col("count") * ranges > n).collect():
+        bounds += [(r["has"], r["id"], r["tie"], SALTS * i // ranges) for i in range(ranges)]
+    return sorted(set(bounds))
+
+
 def with_next(df: DataFrame, id_col: str, cols: list[str], tie: str, ranges: int) -> DataFrame:
     """``df`` with ``next_<col>`` of the row after it in descending ``id_col``
     (ties by descending ``tie``, null ids last; after the last: the first).
 
-    Rows are dealt to ranges of ids, cut at approximate quantiles, and sorted
-    within; a range also gets the first row of the range after it, so that no
-    row's neighbour is in another task and no task holds all rows.
+    Rows are dealt to ranges of (id, tie, salt), cut at approximate quantiles,
+    and sorted within; a range also gets the first row of the range after it, so
+    that no row's neighbour is in another task and no task holds all rows, even
+    if most have one id or none and one text.
     """
-    cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    top = 1 << max(0, len(cuts).bit_length() - 1)
+    row = F.monotonically_increasing_id()
+    zero = F.lit(0).cast(df.schema[id_col].dataType)
+    names = ("has", "id", "tie", "salt")
+    parts = (F.col(id_col).isNotNull().cast("int"), F.coalesce(F.col(id_col), zero), F.col(tie), F.pmod(F.xxhash64(row), F.lit(SALTS)))
+    key = F.struct(*(c.alias(x) for x, c in zip(names, parts)), row.alias("row"))
+    keyed = df.withColumn("__key", key)
+    bounds = _bounds(keyed.select("__key.*"), ranges)
+    # Binary search: how many bounds are below the key.
+    top = 1 << max(0, len(bounds).bit_length() - 1)
     powers = F.array(*(F.lit(top >> i) for i in range(top.bit_length())))
-    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array(F.lit(0))
-    # Binary search: how many cuts are below the id.
-    place = F.aggregate(powers, F.lit(0), lambda acc, p: F.when((acc + p <= len(cuts)) & (F.get(bounds, acc + p - 1) < F.col(id_col)), acc + p).otherwise(acc))
-    placed = df.withColumn("__range", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(place))
-    firsts = {r["__range"]: (r["f"][id_col], r["f"][tie]) for r in placed.groupBy("__range").agg(F.max(F.struct(id_col, tie)).alias("f")).collect()}
+    kinds = ("int", df.schema[id_col].dataType, "long", "long")
+    table_of = F.array(*(F.struct(*(F.lit(v).cast(t).alias(x) for x, v, t in zip(names, b, kinds))) for b in bounds or [(0, 0, 0, 0)]))
+    mine = F.struct(*(F.col(f"__key.{x}").alias(x) for x in names))
+    place = F.aggregate(powers, F.lit(0), lambda acc, p: F.when((acc + p <= len(bounds)) & (F.get(table_of, acc + p - 1) < mine), acc + p).otherwise(acc))
+    placed = keyed.withColumn("__range", place)
+    firsts = {r["__range"]: r["row"] for r in placed.groupBy("__range").agg(F.max("__key").alias("f")).select("__range", "f.row").collect()}
     if not firsts:
-        return placed.select(*df.columns, *(F.col(c).alias(f"next_{c}") for c in cols))
+        return df.select(*df.columns, *(F.col(c).alias(f"next_{c}") for c in cols))
     order = sorted(firsts)
     # The range before the one that a first row is in; before the highest, the lowest.
     before = F.create_map(*(F.lit(x) for a, b in zip(order, [*order[1:], order[0]]) for x in (a, b)))
-    ids = F.create_map(*(F.lit(x) for k in order if firsts[k][0] is not None for x in (k, firsts[k][0]))) if any(f[0] is not None for f in firsts.values()) else None
-    ties = F.create_map(*(F.lit(x) for k in order for x in (k, firsts[k][1])))
-    same_id = F.col(id_col).eqNullSafe(F.try_element_at(ids, F.col("__range")) if ids is not None else F.lit(None))
-    is_first = same_id & (F.col(tie) == F.try_element_at(ties, F.col("__range")))
-    copies = F.when(is_first, F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("copy")), F.struct(F.try_element_at(before, F.col("__range")).alias("r"), F.lit(1).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("copy")))
-    )
-    dealt = placed.withColumn("__c", F.explode(copies)).select(*df.columns, F.col("__c.r").alias("__range"), F.col("__c.copy").alias("__copy"))
-    w = Window.partitionBy("__range").orderBy("__copy", F.desc_nulls_last(id_col), F.desc(tie))
-    return dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in cols)).where("__copy = 0").drop("__range", "__copy")
+    rows = F.create_map(*(F.lit(x) for k, v in firsts.items() for x in (k, v)))
+    copy = lambda r, n: F.struct(r.alias("r"), F.lit(n).alias("copy"))
+    own = copy(F.col("__range"), 0)
+    is_first = F.col("__key.row") == F.try_element_at(rows, F.col("__range"))
+    copies = F.when(is_first, F.array(own, copy(F.try_element_at(before, F.col("__range")), 1))).otherwise(F.array(own))
+    dealt = placed.withColumn("__c", F.explode(copies)).select(*df.columns, "__key", F.col("__c.r").alias("__range"), F.col("__c.copy").alias("__copy"))
+    w = Window.partitionBy("__range").orderBy("__copy", F.desc("__key"))
+    return dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in cols)).where("__copy = 0").drop("__range", "__copy", "__key")
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
