@@ -2,22 +2,24 @@
 
 A word's score is its log-odds of standing in toxic against other labelled
 texts under an informative Dirichlet prior (Monroe, Colaresi and Quinn, 2008),
-less one standard deviation; words whose log-odds are not ``Z_MIN`` deviations
-above zero score ``-DRIFT``. A linear-time scan finds all maximal scoring
-segments of a text (Ruzzo and Tompa, 1999): as all other words score the same,
-it need only visit the scored words and the gaps between them. A segment of
-score S in a text of n words has the expected count ``K n exp(-lambda S)`` in
-other texts (Karlin and Altschul, 1990), where lambda solves
-``sum p_i exp(lambda s_i) = 1`` over the scores of words in such texts and
-``K = 1 - (1 - p) exp(-lambda DRIFT)`` bounds the constant. Segments of at most
+one standard deviation nearer to zero; words whose log-odds are not ``Z_MIN``
+deviations from zero, on either side, score ``-DRIFT``. A linear-time scan finds
+all maximal scoring segments of a text (Ruzzo and Tompa, 1999): as all other
+words score the same, it need only visit the scored words and the gaps between
+them. A segment of score S in a text of n words has the expected count
+``K n exp(-lambda S)`` in other texts (Karlin and Altschul, 1990), where lambda
+solves ``sum p_i exp(lambda s_i) = 1`` over the scores of words in such texts and
+``K``, that sum over the positive scores (a segment begins with one), bounds the
+constant. Segments of at most
 ``E_MAX`` are passages; a text's statistic is the sum of ``-ln E`` over them
-(without any, the best segment's if positive), and a logistic curve fitted to
-the labelled sample turns it into a score.
+(without any, the best segment's if positive), and a logistic curve turns it
+into a score. The curve is fitted to statistics of labelled texts under words
+learned from the other half of these texts.
 
 Fitted on a bounded sample: ``TRAIN_DOCS`` labelled texts (expected, chosen by
-the hash of their ids; all if there are fewer), copies of a text counting once,
-and ``MAX_LEXICON`` words at most, broadcast to the workers. All texts are then
-scored whole.
+the hash of their ids; all if there are fewer), copies of a text counting once.
+Its significant words, all of them, are broadcast to the workers: each is in
+``MIN_TEXTS`` of the sampled texts at least. All texts are then scored whole.
 
 Defined results: null and empty texts, and texts without scored words, get the
 curve's lowest value. Labels that are null are ignored; a text with several
@@ -39,9 +41,9 @@ from pyspark.sql import types as T
 
 from vocatlas.llm.base import ascii_lower, id_crc, small_batches, table
 from vocatlas.llm.bytewords import Lookup, Words, chunks, hash_words, tokenize
+from vocatlas.session import cut
 
 TRAIN_DOCS = 40_000
-MAX_LEXICON = 20_000
 MIN_TEXTS = 3
 Z_MIN = 4.0
 PRIOR = 0.1
@@ -64,7 +66,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
     return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(once), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
 
 
-def lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> tuple[list[tuple[str, float, float]], float, float]:
+def lexicon(rows: DataFrame) -> tuple[list[tuple[str, float, float]], float, float]:
     """(word, score, share of other texts' words) of the significant words;
     words of toxic and of other texts. Words count once a text."""
     words = rows.select("toxic", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), NOT_WORD))).alias("word")).where("word != ''")
@@ -77,19 +79,18 @@ def lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> tuple[list[tuple[str, f
     whole = PRIOR * (yes + no)
     odds = lambda y, n: F.log((y + prior) / (n + whole - y - prior))
     scored = (
-        counts.where(F.col("yes") >= MIN_TEXTS)
+        counts.where(F.col("yes") + F.col("no") >= MIN_TEXTS)
         .withColumn("delta", odds(F.col("yes"), yes) - odds(F.col("no"), no))
         .withColumn("sd", F.sqrt(1 / (F.col("yes") + prior) + 1 / (F.col("no") + prior)))
-        .where(F.col("delta") >= Z_MIN * F.col("sd"))
-        .select("word", (F.col("delta") - F.col("sd")).alias("score"), ((F.col("no") + prior) / (no + whole)).alias("share"), (F.col("delta") / F.col("sd")).alias("z"))
+        .where(F.abs("delta") >= Z_MIN * F.col("sd"))
+        .select("word", (F.col("delta") - F.signum("delta") * F.col("sd")).alias("score"), ((F.col("no") + prior) / (no + whole)).alias("share"))
     )
-    top = scored.orderBy(F.desc("z"), "word").limit(most).collect()
-    return [(r.word, r.score, r.share) for r in top], yes, no
+    return [(r.word, r.score, r.share) for r in scored.orderBy("word").collect()], yes, no
 
 
 def solve_lambda(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
-    """The positive root of the scores' moment equation; shares sum to under 1."""
-    rest = 1 - shares.sum()
+    """The positive root of the scores' moment equation; shares sum to at most 1 and the mean is negative."""
+    rest = max(0.0, 1 - shares.sum())
     f = lambda x: float((shares * np.exp(np.minimum(x * scores, 700))).sum() + rest * math.exp(-x * drift) - 1)
     lo, hi = 1e-9, 1.0
     while f(hi) < 0:
@@ -107,6 +108,9 @@ def maximal_segments(positions: list[int], scores: list[float], drift: float) ->
     total, at = 0.0, -1
     for p, s in zip(positions, scores):
         total -= drift * (p - at - 1)
+        if s <= 0:
+            total, at = total + s, p
+            continue
         seg = [p, p, total, total + s]
         total += s
         at = p
@@ -131,14 +135,13 @@ class Model:
         self.lookup = Lookup(h[order])
         self.scores = np.array([s for _, s, _ in words])[order] if words else np.zeros(0)
         shares = np.array([p for _, _, p in words])
-        if words and shares.sum() > 0.5 * DRIFT / (DRIFT + 1):
-            shares = shares * 0.5 * DRIFT / (DRIFT + 1) / shares.sum()
-        mean = float((shares * self.scores[np.argsort(order)]).sum()) if words else 0.0
-        self.drift = max(DRIFT, 2 * mean)  # the mean must be negative
-        self.lam = solve_lambda(np.array([s for _, s, _ in words]), shares, self.drift) if words else 1.0
-        self.k = 1 - (1 - shares.sum()) * math.exp(-self.lam * self.drift)
+        scores = np.array([s for _, s, _ in words])
+        mean, rest = float((shares * scores).sum()), max(1e-9, 1 - float(shares.sum()))
+        self.drift = max(DRIFT, 2 * mean / rest)  # the mean must be negative
+        self.known = any(s > 0 for _, s, _ in words)
+        self.lam = solve_lambda(scores, shares, self.drift) if self.known else 1.0
+        self.k = float((shares * np.exp(self.lam * scores))[scores > 0].sum()) if self.known else 1.0
         self.curve = (math.log(max(base, 1e-6) / max(1 - base, 1e-6)), 0.0)
-        self.known = bool(words)
 
     def passages(self, w: Words, rows: int) -> tuple[np.ndarray, list[list[tuple[int, int, float, float]]]]:
         """The statistic, and the passages (first word, last word, score, E), by row."""
@@ -154,6 +157,8 @@ class Model:
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             d = int(of[a])
             segments = maximal_segments((at[a:b] - first[d]).tolist(), self.scores[key[a:b]].tolist(), self.drift)
+            if not segments:
+                continue
             log_e = [(s, math.log(self.k * int(w.count[d])) - self.lam * s[2]) for s in segments]
             good = [(s, e) for s, e in log_e if e <= math.log(E_MAX)]
             found[d] = [(s[0], s[1], s[2], math.exp(max(e, -700))) for s, e in good]
@@ -212,20 +217,23 @@ def _apply(docs: DataFrame, model: Model, id_col: str, text_col: str, carry: tup
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """A model of (doc_id, text) and (doc_id, toxic)."""
-    rows = training_rows(docs, labels, most).persist()
-    try:
-        words, yes, no = lexicon(rows)
-        n = rows.agg(F.count("*"), F.sum("toxic")).first()
-        model = Model(words, (n[1] or 0) / max(1, n[0]))
-        if words:
-            got = _apply(rows, model, "toxic", "text").select("toxic", "stat").groupBy("toxic", F.round("stat", 3).alias("stat")).count().collect()
-            y, x, k = (np.array([r[i] for r in got], float) for i in range(3))
-            order = np.lexsort((y, x))
-            reps = k[order].astype(int)
-            model.curve = fit_curve(np.repeat(x[order], reps), np.repeat(y[order], reps))
-        return model
-    finally:
-        rows.unpersist()
+    rows = cut(training_rows(docs, labels, most).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2))))
+    words, _, _ = lexicon(rows)
+    n = rows.agg(F.count("*"), F.sum("toxic")).first()
+    base = (n[1] or 0) / max(1, n[0])
+    model = Model(words, base)
+    got = []
+    for half in (0, 1):
+        # Words of one half, statistics of the other: no text had a part in what it is judged by.
+        other = Model(lexicon(rows.where(F.col("half") != half))[0], base)
+        if other.known:
+            got += _apply(rows.where(F.col("half") == half), other, "toxic", "text").groupBy("toxic", F.round("stat", 3).alias("stat")).count().collect()
+    if model.known and got:
+        y, x, k = (np.array([r[i] for r in got], float) for i in range(3))
+        order = np.lexsort((y, x))
+        reps = k[order].astype(int)
+        model.curve = fit_curve(np.repeat(x[order], reps), np.repeat(y[order], reps))
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
