@@ -242,3 +242,24 @@ def test_short_similar_texts_meet_for_certain(spark):
         texts += [" ".join(words), " ".join(other)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_simhash_query(spark, tmp_path):
+    """Fingerprints by plain XXH64, components by all pairs, as the query returns them."""
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(50)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 5, 30, 200])))) for i in range(0, 120, 2)]
+    rows += [(i + 1, t + (" w1" if i % 4 else " W2 x")) for i, t in rows] + [(500, None), (501, ""), (None, rows[0][1]), (4, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = N.op2_simhash_golay(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "fingerprint", "component_id"]
+    prints = [plain_simhash(t, 3) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    root = groups(links, range(len(rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    want = [(i, f"{p:016x}", least.get(root[k])) for k, ((i, _), p) in enumerate(zip(rows, prints))]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert len(set(least.values())) < len(rows)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -113,3 +114,30 @@ def test_copies_count_once(spark):
     docs = spark.createDataFrame([(i, "same text" if i < 50 else f"text {i}") for i in range(60)], "doc_id long, text string")
     rows = T.training_rows(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
     assert rows.count() == 11 and rows.where("text = 'same text'").first().toxic == 0
+
+
+def test_query(spark, tmp_path):
+    """Held-out rows by zlib's crc32, learning from no others, and the columns."""
+    rows, labels = corpus(700, 4)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    # Labels of held-out rows are wrong, which must make no difference.
+    lab = [(i, 1 - y if held(i) else y) for i, y in labels]
+    spark.createDataFrame([(*r[:2], "aa") for r in rows] + [(None, "scum scum trash idiot scum", None), (5000, None, None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, some in (("labels", lab), ("kept", [x for x in labels if not held(x[0])])):
+        spark.createDataFrame(some, "doc_id long, toxic int").write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = T.op6_toxicity(spark, str(tmp_path))
+    assert dict(out.dtypes)["score"] == "double" and dict(out.dtypes)["predicted"] == "int"
+    got = out.collect()
+    assert len(got) == 702 and all(r.held_out == (r.doc_id is not None and held(r.doc_id)) for r in got)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = T.fit(docs, spark.read.parquet(str(tmp_path / "kept.parquet")))
+    want = {r.doc_id: (r.score, r.predicted) for r in T.score(docs, model).collect()}
+    assert {r.doc_id: (r.score, r.predicted) for r in got} == want
+    true = dict(labels)
+    assert sum(want[i][1] != true[i] for i in true if held(i)) <= 5 and want[None][1] == 1
+
+
+def test_clean_words_count_against_a_passage():
+    m = T.Model([("bad", 2.0, 0.02), ("kind", -3.0, 0.1)], 0.1)
+    stat, found = m.passages(tokenize(pa.array(["bad bad bad bad bad bad bad", "bad kind bad kind bad kind bad kind bad kind bad kind bad", "kind kind"])), 3)
+    assert stat[0] > stat[1] >= 0 == stat[2] and found[0] and not found[1] and not found[2]

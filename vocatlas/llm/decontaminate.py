@@ -18,7 +18,8 @@ size, a stated set of queries run against all documents block by block; the
 hit spans of all blocks are joined by document at the end.
 
 Defined results: null, empty and wordless texts have no words, no hits and no
-items. Items that are null or without words have no window. Repeated documents
+items. Items whose text is null or without words have no window. Items without
+an id hit like others; they count as one item and aren't in the digest. Repeated documents
 are judged each (an id with several rows gives several rows); repeated items
 of one id count once, equal items of several ids count each. Without a
 benchmark nothing is hit. Other columns are not read.
@@ -66,10 +67,10 @@ def winnow(h: np.ndarray, text: np.ndarray, window: int = WINDOW, gram: int = GR
 class Benchmark:
     """The items of one block, ready to look up."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM):
-        """``items``: (item id as text, text); equal pairs count once."""
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW, gram: int = GRAM):
+        """``items``: (item id as text, or None, and text); equal pairs count once."""
         self.window, self.gram = window, gram
-        items = sorted(set(items))
+        items = sorted(set(items), key=lambda x: (x[0] is not None, x))
         ids = [i for i, _ in items]
         w = tokenize(pa.array([t for _, t in items], pa.string()))
         first = np.cumsum(w.count) - w.count
@@ -140,7 +141,7 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 
 def _block(spark: SparkSession, rows: list, window: int, gram: int):
-    return spark.sparkContext.broadcast(Benchmark([(str(r.item_id), r.text) for r in rows], window, gram))
+    return spark.sparkContext.broadcast(Benchmark([(None if r.item_id is None else str(r.item_id), r.text) for r in rows], window, gram))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, max_words: int = MAX_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -148,7 +149,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     and contaminated. ``benchmark``: item_id, text."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
+    items = benchmark.where("text is not null").select("item_id", "text")
     size = int(items.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // 2  # words at most
     blocks = -(-size // max_words) or 1
     if blocks == 1:
@@ -156,7 +157,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return _mark_block(docs, shared, id_col, text_col, carry)
     keyed = docs.withColumn("__row", F.monotonically_increasing_id())
     keyed = _settled(keyed.select("__row", id_col, *carry, F.col(text_col).alias("__text")))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None
     for k in range(blocks):
         part = _spans_block(keyed, _block(spark, dealt.where(F.col("block") == k).collect(), window, gram))
@@ -164,7 +165,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     counts = keyed.select("__row", id_col, *carry, "__text")
     words = _mark_block(counts, _block(spark, [], window, gram), "__row", "__text", (id_col, *carry)).select("__row", id_col, *carry, "n_words")
     # One row a document and block: spans of a document are joined, never of all documents.
-    merged = found.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     starts = F.array_sort("spans")
     total = F.aggregate(
         starts,
@@ -181,7 +182,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         id_col, *carry, "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(F.array_sort(F.coalesce("items", none)), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
@@ -208,7 +209,7 @@ def _spans_block(keyed: DataFrame, shared) -> DataFrame:
                         [
                             b.column(0).take(pa.array(rows)),
                             pa.array([[{"first": f, "size": n} for f, n, _ in by[r]] for r in rows], pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())]))),
-                            pa.array([sorted(set().union(*(i for _, _, i in by[r]))) for r in rows], pa.list_(pa.string())),
+                            pa.array([list(set().union(*(i for _, _, i in by[r]))) for r in rows], pa.list_(pa.string())),
                         ],
                         names=["__row", "spans", "items"],
                     )
@@ -237,9 +238,10 @@ def _mark_block(docs: DataFrame, shared, id_col: str, text_col: str, carry: tupl
                 for row, first, size, items in bench.spans(w):
                     by[row].append((first, size, items))
                 for row, found in by.items():
-                    ids = sorted(set().union(*(i for _, _, i in found)))
+                    all_ids = set().union(*(i for _, _, i in found))
+                    ids = sorted(all_ids - {None})
                     hit[at + row] = covered([(f, k) for f, k, _ in found])
-                    n_items[at + row] = len(ids)
+                    n_items[at + row] = len(all_ids)
                     digest[at + row] = hashlib.sha256(",".join(ids).encode()).hexdigest()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words), pa.array(hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(hit > 0)], names=names)
 
@@ -267,7 +269,7 @@ places AS (
 hits AS (SELECT doc_id, i, p.k, item_id FROM places p JOIN wins USING (k, win)),
 words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM hits)) GROUP BY doc_id),
 items AS (
-  SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256
+  SELECT doc_id, count(*) AS n_items, sha256(coalesce(string_agg(x, ',' ORDER BY x), '')) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
