@@ -383,15 +383,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = salted_join(nodes.select("fp", "node"), least_of.where("m > 1").select("fp", "least"), "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     end = lambda c: least_of.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
     golay_links = hamming_links(least_of).join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    # Classes of first shingles.
+    # Classes of first shingles: those of one node, by far the most, go while the rows are together.
     index = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - F.lit(1e-6))
-    rows = nodes.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at", index.alias("index"))
+    rows = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    by_key = Window.partitionBy("key")
+    rows = rows.withColumn("size", F.count("*").over(by_key)).withColumn("any", F.max(index).over(by_key))
+    # A class needs a node that may be the smaller one of a pair.
+    rows = _written(rows.where(F.col("any") & (F.col("size") > 1)).select("key", "node", "n", "at", index.alias("index")), "near-rows")
     stats = rows.groupBy("key").agg(
         F.count("*").alias("size"), F.min(F.struct(~F.col("index"), F.xxhash64("node", "key"), "node", "n", "at")).alias("rep"), F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.col("at").cast("long")).alias("places"),
     )
-    # A class needs a node that may be the smaller one of a pair; of classes with the same nodes the first in the order is enough.
-    stats = cut(stats.where("size > 1 and not rep.col1"))
+    # Of classes with the same nodes the first in the order is enough.
     stats = cut(stats.groupBy("size", "x", "y", "lo", "hi").agg(F.min_by(F.struct("key", "rep"), F.struct("places", "key")).alias("k")).select("k.key", "size", "k.rep"))
     live = _written(salted_join(rows, stats, "key", counts=stats.select("key", F.col("size").alias("__n"))).select(
         "key", "node", "n", "at", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n"), F.col("rep.at").alias("rep_at")
@@ -422,7 +425,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
     """``class``, ``node`` and ``root`` of the classes that links have not made
     one piece, those of mostly the same nodes as one class."""
-    placed = cut(live.join(roots, "node", "left").select("key", "node", "at", "size", F.coalesce("root", "node").alias("root")))
+    # The only pair of a class of two was compared.
+    placed = cut(live.where("size > 2").join(roots, "node", "left").select("key", "node", "at", "size", F.coalesce("root", "node").alias("root")))
     pieces = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("key")
     open_rows = cut(salted_join(placed, pieces, "key"))
     # Neighbours in their nodes' order are the classes that may have the same nodes.
