@@ -46,7 +46,9 @@ SHINGLES_AT_ONCE = 1 << 16
 
 #: Texts that the order of shingles is learned from, and shingles that it knows to be common.
 SAMPLE, MAX_COMMON = 5_000, 250_000
-#: Nodes of a class compared at once, and their shingles on average.
+#: Nodes of a class whose pairs are candidates at once.
+SMALL = 16
+#: Nodes of a larger class compared at once, and their shingles on average.
 BLOCK, BLOCK_SHINGLES = 512, 1024
 #: Shingles whose counts are added up at once.
 COLUMNS = 2048
@@ -317,8 +319,9 @@ def _class_links(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("class", "bi", "bj", "own", "node", "root", "s").mapInArrow(run, "a long, b long")
 
 
-def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``node`` and ``s``, its text's shingles, for ``wanted``: ``id_col`` and node, one id a node."""
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, once: bool) -> DataFrame:
+    """``node`` and ``s``, its text's shingles, for ``wanted``: ``id_col`` and node, one id a node.
+    ``once``: no id has several rows."""
     wanted = cut(wanted)
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
@@ -333,7 +336,8 @@ def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str
             out = [np.unique(np.concatenate([(x.astype(np.uint64) >> np.uint64(32)).astype(np.int64) for x in shingle_hashes(words[i], shingle)])) for i in keep]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([(x - (1 << 31)).astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["node", "s"])
 
-    return cut(texts.mapInArrow(sets, "node long, s array<int>").groupBy("node").agg(F.first("s").alias("s")))
+    found = texts.mapInArrow(sets, "node long, s array<int>")
+    return _written(found if once else found.groupBy("node").agg(F.first("s").alias("s")), "near-sets")
 
 
 def _verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -345,6 +349,17 @@ def _verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(same >= F.lit(threshold) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
+def _plausible(pairs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose prefixes, of which ``shared`` has all that texts share, have enough shingles in common: beyond them, no
+    more can be than the longer rest of a set behind its prefix."""
+    lists = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n")))
+    end = lambda c: lists.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("n").alias(f"n_{c}"))
+    both = salted_join(salted_join(pairs, end("b"), "b"), end("a"), "a")
+    rest = F.ceil(F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-6)) - 1
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    return both.where(F.size(F.array_intersect("keys_a", "keys_b")) + rest >= need).select("a", "b")
+
+
 def _possible(n: str, at: str, other_n: str, other_at: str, threshold: float):
     """Whether sets of ``n`` and ``other_n`` whose first common member is at these places of the order may be similar."""
     need = F.lit(threshold / (1 + threshold)) * (F.col(n) + F.col(other_n)) - F.lit(1e-6)
@@ -364,9 +379,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost, whatever the texts' lengths. Candidates that the places of the shared
     shingle rule out are dropped; all others are verified on whole shingle sets.
 
-    First each node is compared with one node of each of its classes, which is
-    linear and joins most of a family. Where a class is in several pieces
-    still, classes of mostly the same nodes are taken as one, and the nodes
+    In a class of up to ``SMALL`` all are compared. In a larger one each node is
+    first compared with one node, which is linear and joins most of a family.
+    Where such a class is in several pieces still, classes of mostly the same nodes are taken as one, and the nodes
     outside its largest piece are compared with all its nodes, in pairs of
     blocks of ``BLOCK``.
     """
@@ -388,8 +403,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     by_key = Window.partitionBy("key")
     rows = rows.withColumn("size", F.count("*").over(by_key)).withColumn("any", F.max(index).over(by_key))
+    shared = _written(rows.where("size > 1").select("key", "node", "n", "at", "any", index.alias("index")), "near-rows")
     # A class needs a node that may be the smaller one of a pair.
-    rows = _written(rows.where(F.col("any") & (F.col("size") > 1)).select("key", "node", "n", "at", index.alias("index")), "near-rows")
+    rows = shared.where("any").drop("any")
     stats = rows.groupBy("key").agg(
         F.count("*").alias("size"), F.min(F.struct(~F.col("index"), F.xxhash64("node", "key"), "node", "n", "at")).alias("rep"), F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.col("at").cast("long")).alias("places"),
@@ -399,15 +415,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     live = _written(salted_join(rows, stats, "key", counts=stats.select("key", F.col("size").alias("__n"))).select(
         "key", "node", "n", "at", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n"), F.col("rep.at").alias("rep_at")
     ), "near-classes")
-    star = live.where("node != rep").where(_possible("n", "at", "rep_n", "rep_at", threshold)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    candidates = cut(equal.union(golay_links).union(star).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    ends = live.select("node").union(candidates.select("a")).union(candidates.select("b")).distinct()
-    sets = _shingle_sets(nodes.select("node", id_col).join(ends, "node"), docs, id_col, text_col, shingle)
-    good = cut(_verified(candidates, sets, threshold))
+    star = live.where((F.col("size") > SMALL) & (F.col("node") != F.col("rep"))).where(_possible("n", "at", "rep_n", "rep_at", threshold)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    few = live.where(F.col("size") <= SMALL)
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    all_of_few = few.join(other, "key").where(F.col("node") < F.col("b")).where(_possible("n", "at", "b_n", "b_at", threshold)).select(F.col("node").alias("a"), "b")
+    candidates = cut(equal.union(golay_links).union(star).union(all_of_few).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    candidates = cut(_plausible(candidates, shared, threshold))
+    once = features.groupBy(id_col).count().where("count > 1").isEmpty()
+    sets_of = lambda some: _shingle_sets(nodes.select("node", id_col).join(some.distinct(), "node"), docs, id_col, text_col, shingle, once)
+    good = cut(_verified(candidates, sets_of(candidates.select(F.explode(F.array("a", "b")).alias("node"))), threshold))
     roots = cut(components(good))
     rest = _unsettled(live, roots)
     if not rest.isEmpty():
-        more = cut(_class_links(_blocks(rest, sets), threshold).distinct())
+        more = cut(_class_links(_blocks(rest, sets_of(rest.select("node"))), threshold).distinct())
         roots = cut(components(good.union(more)))
     named = nodes.select("node", F.col(id_col).alias("first"), "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("copies").alias("members")).where("members > 1").select("root", "group_id")
@@ -425,8 +445,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
     """``class``, ``node`` and ``root`` of the classes that links have not made
     one piece, those of mostly the same nodes as one class."""
-    # The only pair of a class of two was compared.
-    placed = cut(live.where("size > 2").join(roots, "node", "left").select("key", "node", "at", "size", F.coalesce("root", "node").alias("root")))
+    # All pairs of the small classes were compared.
+    placed = cut(live.where(F.col("size") > SMALL).join(roots, "node", "left").select("key", "node", "at", "size", F.coalesce("root", "node").alias("root")))
     pieces = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("key")
     open_rows = cut(salted_join(placed, pieces, "key"))
     # Neighbours in their nodes' order are the classes that may have the same nodes.
