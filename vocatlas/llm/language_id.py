@@ -106,6 +106,16 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def transitions(seq: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of ``seq`` as arrays: states; state, symbol and next state by transition."""
+    nxt = suffix_automaton(seq)
+    size = np.fromiter(map(len, nxt), np.int64, len(nxt))
+    n = int(size.sum())
+    symbol = np.fromiter((c for out in nxt for c in out), np.int16, n)
+    to = np.fromiter((x for out in nxt for x in out.values()), np.int32, n)
+    return len(nxt), np.repeat(np.arange(len(nxt)), size), symbol, to
+
+
 class Model:
     """The stacked automata of all languages.
 
@@ -127,35 +137,35 @@ class Model:
         self.code = np.full(256, len(used), np.int16)
         self.code[used] = np.arange(len(used))
         self.bits = [float(np.log2(max(2, len(text)))) for text in train.values()]
-        automata = [suffix_automaton(self.code[np.frombuffer(text, np.uint8)].tolist()) for text in train.values()]
+        # By language: states, and the state, symbol and next state of each transition.
+        automata = [transitions(self.code[np.frombuffer(text, np.uint8)].tolist()) for text in train.values()]
         # Roots count as states of several transitions.
-        wide = [np.array([i == 0 or len(out) > 1 for i, out in enumerate(states)], bool) for states in automata]
+        wide = []
+        for n, frm, _, _ in automata:
+            several = np.bincount(frm, minlength=n) > 1
+            several[0] = True
+            wide.append(several)
         self.rows = sum(int(w.sum()) for w in wide)
-        rows, total = 0, self.rows
-        numbers = []
-        for w in wide:
-            number = np.empty(len(w), np.int64)
-            number[w] = rows + np.arange(int(w.sum()))
-            number[~w] = total + np.arange(int((~w).sum()))
-            rows, total = rows + int(w.sum()), total + int((~w).sum())
-            numbers.append(number)
-        self.roots = np.array([n[0] for n in numbers], np.int32)
+        total = sum(map(len, wide))
+        self.roots = np.zeros(len(train), np.int32)
         self.symbol, self.only = np.full(total, -1, np.int16), np.zeros(total, np.int32)
         self.table = np.empty((self.rows + len(train), self.width), np.int32)
-        for k, (states, number) in enumerate(zip(automata, numbers)):
+        row, one = 0, self.rows
+        for k, (w, (_, frm, symbol, to)) in enumerate(zip(wide, automata)):
+            rows = int(w.sum())
+            number = np.empty(len(w), np.int64)
+            number[w] = row + np.arange(rows)
+            number[~w] = one + np.arange(len(w) - rows)
+            self.roots[k] = number[0]
             begins = np.full(self.width, 2 * number[0] + 1, np.int32)
-            for c, to in states[0].items():
-                begins[c] = 2 * number[to] + 1
+            begins[symbol[frm == 0]] = 2 * number[to[frm == 0]] + 1
             self.table[self.rows + k] = begins
-            for i, out in enumerate(states):
-                s = int(number[i])
-                if s < self.rows:
-                    self.table[s] = begins
-                    if i:
-                        self.table[s, list(out)] = 2 * number[list(out.values())]
-                elif out:
-                    ((c, to),) = out.items()
-                    self.symbol[s], self.only[s] = c, 2 * number[to]
+            self.table[row : row + rows] = begins
+            inner = w[frm] & (frm != 0)
+            self.table[number[frm[inner]], symbol[inner]] = 2 * number[to[inner]]
+            alone = ~w[frm]
+            self.symbol[number[frm[alone]]], self.only[number[frm[alone]]] = symbol[alone], 2 * number[to[alone]]
+            row, one = row + rows, one + len(w) - rows
         self.table = self.table.ravel()
 
 
