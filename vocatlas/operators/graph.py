@@ -189,18 +189,21 @@ def node_ids(graph: Graph, namespace: str | None = None, active_only: bool = Tru
     return out.select("node_id").orderBy("node_id")
 
 
-def closure(graph: Graph, max_depth: int = 32) -> DataFrame:
+def closure(graph: Graph, max_depth: int | None = None) -> DataFrame:
     """Extension: ``node_id``, ``ancestor`` and least ``depth`` over hierarchy
-    edges, to ``max_depth``. Paths double in length each round, so that rounds
-    grow with the log of the depth; a cycle's nodes are ancestors of themselves.
+    edges, of any depth unless ``max_depth`` is given. Paths double in length
+    each round until a round finds nothing new, so that rounds grow with the log
+    of the depth; a cycle's nodes are ancestors of themselves.
     """
     paths = cut(parents(graph).select("node_id", F.col("other").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    known, reach = paths.count(), 1
-    while reach < max_depth:
+    known = (paths.count(), paths.count())
+    while True:
         left, right = paths.alias("l"), paths.alias("r")
         longer = left.join(right, F.col("l.ancestor") == F.col("r.node_id")).select("l.node_id", "r.ancestor", (F.col("l.depth") + F.col("r.depth")).alias("depth"))
-        paths = cut(paths.unionByName(longer.where(F.col("depth") <= max_depth)).groupBy("node_id", "ancestor").agg(F.min("depth").alias("depth")))
-        before, known, reach = known, paths.count(), 2 * reach
-        if known == before:
-            break
-    return paths
+        if max_depth is not None:
+            longer = longer.where(F.col("depth") <= max_depth)
+        paths = cut(paths.unionByName(longer).groupBy("node_id", "ancestor").agg(F.min("depth").alias("depth")))
+        now = tuple(paths.agg(F.count("*"), F.sum("depth")).first())
+        if now == known:
+            return paths
+        known = now

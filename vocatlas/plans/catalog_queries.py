@@ -8,16 +8,18 @@ customers, parts and suppliers, texts are ``documents`` and queries
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocatlas.functions import ids, replies, text
 from vocatlas.operators import adjudicate as adj
 from vocatlas.operators import bm25, graph, index, metrics, validate
-from vocatlas.plans import enrich
-from vocatlas.sources import catalogs, records
+from vocatlas.plans import config, enrich, model
+from vocatlas.session import scratch_path
+from vocatlas.sources import catalogs, corpus, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,7 +181,7 @@ UNION ALL
 SELECT concat('CWE-', cast(p_partkey AS string)), concat('CWE-', cast(p_partkey + 1 AS string)), 'revoked_by', cast(200000000 + p_partkey AS bigint) FROM {part} WHERE p_partkey % 22 = 1
 UNION ALL
 SELECT concat('CAPEC-', cast(l_suppkey AS string)), concat('CWE-', cast(l_partkey + CASE WHEN l_linenumber = 7 THEN 9000000 ELSE 0 END AS string)), 'maps_to', cast(300000000 + l_orderkey * 10 + l_linenumber AS bigint)
-FROM {lineitem} WHERE l_quantity > 40"""
+FROM {lineitem}"""
 
 GRAPH_SQL = f"""
 n AS ({_duck(NODES)}),
@@ -287,15 +289,15 @@ def graph_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.mapped(stand_in_graph(spark, sf_dir))
 
 
-@query(f"""WITH {GRAPH_SQL}
-SELECT node_id, name, status, (SELECT coalesce(string_agg(other, ',' ORDER BY t, load_seq, other), '') FROM par WHERE par.node_id = win.node_id) AS parents,
-  (SELECT count(*) FROM chi WHERE chi.node_id = win.node_id) AS n_children, (SELECT count(*) FROM sib WHERE sib.node_id = win.node_id) AS n_siblings,
-  (SELECT coalesce(string_agg(other, ',' ORDER BY other), '') FROM tac WHERE tac.node_id = win.node_id) AS tactics,
-  (SELECT coalesce(string_agg(other, ',' ORDER BY other), '') FROM map WHERE map.node_id = win.node_id) AS mapped
-FROM win WHERE namespace != 'attack' OR node_type != 'subtechnique'""")
+@query(f"""WITH {GRAPH_SQL},
+pars AS (SELECT node_id, string_agg(other, ',' ORDER BY t, load_seq, other) AS parents FROM par GROUP BY node_id), chis AS (SELECT node_id, count(*) AS n_children FROM chi GROUP BY node_id),
+sibs AS (SELECT node_id, count(*) AS n_siblings FROM sib GROUP BY node_id), tacs AS (SELECT node_id, string_agg(other, ',' ORDER BY other) AS tactics FROM tac GROUP BY node_id),
+maps AS (SELECT node_id, string_agg(other, ',' ORDER BY other) AS mapped FROM map GROUP BY node_id)
+SELECT node_id, name, status, coalesce(parents, '') AS parents, coalesce(n_children, 0) AS n_children, coalesce(n_siblings, 0) AS n_siblings, coalesce(tactics, '') AS tactics, coalesce(mapped, '') AS mapped
+FROM win LEFT JOIN pars USING (node_id) LEFT JOIN chis USING (node_id) LEFT JOIN sibs USING (node_id) LEFT JOIN tacs USING (node_id) LEFT JOIN maps USING (node_id)""")
 def graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H-13."""
-    c = graph.context(stand_in_graph(spark, sf_dir)).where("namespace != 'attack' or node_type != 'subtechnique'")
+    c = graph.context(stand_in_graph(spark, sf_dir))
     j = lambda n: F.array_join(n, ",").alias(n)
     size = lambda n: F.size(n).cast("long").alias(f"n_{n}")
     return c.select("node_id", "name", "status", j("parents"), size("children"), size("siblings"), j("tactics"), j("mapped"))
@@ -313,14 +315,14 @@ def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, up AS (SELECT DISTINCT node_id, other FROM par),
-walk(node_id, ancestor, depth) AS (SELECT node_id, other, 1 FROM up UNION ALL SELECT w.node_id, u.other, w.depth + 1 FROM walk w JOIN up u ON w.ancestor = u.node_id WHERE w.depth < 32)
+walk(node_id, ancestor, depth) AS (SELECT node_id, other, 1 FROM up UNION ALL SELECT w.node_id, u.other, w.depth + 1 FROM walk w JOIN up u ON w.ancestor = u.node_id WHERE w.depth < 48)
 SELECT node_id, ancestor, min(depth) AS depth FROM walk GROUP BY node_id, ancestor""")
 def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: all ancestors."""
+    """Extension: all ancestors. The SQL stops cycles at a depth that no shortest path has; the operator has no bound."""
     return graph.closure(stand_in_graph(spark, sf_dir))
 
 
-TERMS = f"SELECT DISTINCT term FROM ({SPELLED}) UNION SELECT p_name FROM {{part}} WHERE p_partkey % 3 = 0 UNION SELECT concat('  ', p_brand, ' ') FROM {{part}}"
+TERMS = f"SELECT DISTINCT term FROM ({SPELLED}) UNION SELECT p_name FROM {{part}} UNION SELECT concat('  ', p_brand, ' ') FROM {{part}}"
 
 
 @query(f"""WITH {GRAPH_SQL}, t AS (SELECT term, {_canonical('term')} AS id FROM ({_duck(TERMS)}))
@@ -665,3 +667,210 @@ def terms_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five documents of each source."""
     return metrics.stratified(_read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 5)
+
+
+# Sources, sinks and the run, over files that are written from the driver's tables
+
+
+def _catalog_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of catalogues and knowledge bases spelled from the driver's tables."""
+    at = scratch_path(spark, "catalog-files")
+    n, c, r, p, s = (_read(spark, sf_dir, t) for t in ("nation", "customer", "region", "part", "supplier"))
+    technique = lambda k: F.concat(F.lit("T"), (1000 + k).cast("string"))
+    ref = lambda i: F.array(
+        F.struct(F.lit("elsewhere").alias("source_name"), F.lit("T9999").alias("external_id")), F.struct(F.lit("mitre-attack").alias("source_name"), i.alias("external_id"))
+    )
+    none = F.lit(None)
+
+    def objects(rows: DataFrame, kind: str, order: str, **cols: Column) -> DataFrame:
+        names = ("id", "name", "description", "external_references", "revoked", "x_mitre_deprecated", "x_mitre_shortname", "x_mitre_domains", "kill_chain_phases", "relationship_type", "source_ref", "target_ref")
+        types = {"external_references": "array<struct<source_name:string,external_id:string>>", "revoked": "boolean", "x_mitre_deprecated": "boolean", "x_mitre_domains": "array<string>", "kill_chain_phases": "array<struct<kill_chain_name:string,phase_name:string>>"}
+        o = F.struct(F.lit(kind).alias("type"), *(cols.get(x, none).cast(types.get(x, "string")).alias(x) for x in names))
+        return rows.select(F.concat(F.lit(order), F.format_string("%012d", cols["key"])).alias("ord"), F.to_json(o).alias("o"))
+
+    parts = [
+        objects(r, "x-mitre-tactic", "0", key=F.col("r_regionkey").cast("long"), id=F.concat(F.lit("tactic--"), F.col("r_regionkey").cast("string")), name=F.col("r_name"), x_mitre_shortname=F.lower("r_name"),
+                external_references=ref(F.concat(F.lit("TA"), F.lpad(F.col("r_regionkey").cast("string"), 4, "0")))),
+        objects(n.join(r, n.n_regionkey == r.r_regionkey), "attack-pattern", "1", key=F.col("n_nationkey").cast("long"), id=F.concat(F.lit("nation--"), F.col("n_nationkey").cast("string")), name=F.col("n_name"),
+                description=F.concat(F.lit("  nation "), "n_name", F.lit(" ")), external_references=ref(technique(F.col("n_nationkey"))), x_mitre_deprecated=F.col("n_nationkey") % 7 == 3,
+                x_mitre_domains=F.array(F.when(F.col("n_nationkey") % 5 == 4, "mobile").otherwise("enterprise")),
+                kill_chain_phases=F.array(F.struct(F.lit("mitre-attack").alias("kill_chain_name"), F.lower("r_name").alias("phase_name")))),
+        objects(c, "attack-pattern", "2", key=F.col("c_custkey"), id=F.concat(F.lit("customer--"), F.col("c_custkey").cast("string")), name=F.col("c_name"),
+                external_references=ref(F.when(F.col("c_custkey") % 50 == 7, "odd id").otherwise(F.concat(technique(F.col("c_nationkey")), F.lit("."), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))))),
+        objects(n, "course-of-action", "3", key=F.col("n_nationkey").cast("long"), id=F.concat(F.lit("legacy--"), F.col("n_nationkey").cast("string")), name=F.lit("legacy"), external_references=ref(technique(F.col("n_nationkey")))),
+        objects(c, "relationship", "4", key=F.col("c_custkey"), relationship_type=F.when(F.col("c_custkey") % 4 == 0, "uses").otherwise("subtechnique-of"), source_ref=F.concat(F.lit("customer--"), F.col("c_custkey").cast("string")), target_ref=F.concat(F.lit("nation--"), F.col("c_nationkey").cast("string"))),
+        objects(n.where("n_nationkey % 6 = 1"), "relationship", "5", key=F.col("n_nationkey").cast("long"), relationship_type=F.lit("revoked-by"), source_ref=F.concat(F.lit("nation--"), F.col("n_nationkey").cast("string")), target_ref=F.concat(F.lit("nation--"), (F.col("n_nationkey") + 1).cast("string"))),
+    ]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    # A bundle is one JSON text, of one row: a catalogue is a small file that a task reads whole.
+    joined = lambda rows, sep: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["o"]), sep)
+    every.agg(F.concat(F.lit('{"type": "bundle", "objects": ['), joined(F.struct("ord", "o"), ",\n"), F.lit("]}")).alias("value")).write.text(f"{at}/attack.json")
+    weak = p.select(F.format_string("%012d", "p_partkey").alias("ord"), F.concat(
+        F.lit('<Weakness ID="'), F.col("p_partkey").cast("string"), F.lit('" Name="'), "p_name", F.lit('" Abstraction="Base" Structure="Simple" Status="'), F.when(F.col("p_partkey") % 7 == 0, "Deprecated").otherwise("Draft"),
+        F.lit('"><Description> <b>'), "p_type", F.lit("</b> &amp; more </Description><Related_Weaknesses>"),
+        F.lit('<Related_Weakness Nature="ChildOf" CWE_ID="'), F.floor(F.col("p_partkey") / 8).cast("string"), F.lit('" View_ID="1000"/><Related_Weakness Nature="PeerOf" CWE_ID="1"/></Related_Weaknesses>'),
+        F.lit('<Related_Attack_Patterns><Related_Attack_Pattern CAPEC_ID="'), (F.col("p_partkey") % 13 + 1).cast("string"), F.lit('"/></Related_Attack_Patterns></Weakness>'),
+    ).alias("o"))
+    boxes = p.groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit('<Has_Member CWE_ID="'), k.cast("string"), F.lit('" View_ID="1000"/>'))), "").alias("m")).select(
+        F.format_string("%012d", "p_size").alias("ord"), F.concat(F.lit('<Category ID="'), (10_000_000 + F.col("p_size")).cast("string"), F.lit('" Name="size" Status="Draft"><Summary>Of a size.</Summary><Relationships>'), "m", F.lit("</Relationships></Category>")).alias("o")
+    )
+    page = lambda rows, tag: rows.agg(joined(F.struct("ord", "o"), "\n").alias(tag))
+    comment = '<!-- <Weakness ID="99999999" Name="not there" Status="Draft"></Weakness> -->'
+    page(weak, "w").join(page(boxes, "b")).select(F.concat(F.lit(f'<?xml version="1.0"?><Weakness_Catalog xmlns="http://example.org/cwe"><Weaknesses>{comment}'), "w", F.lit("</Weaknesses><Categories>"), "b", F.lit("</Categories></Weakness_Catalog>")).alias("value")).write.text(f"{at}/cwe.xml")
+    patterns = s.select(F.format_string("%012d", "s_suppkey").alias("ord"), F.concat(
+        F.lit('<Attack_Pattern ID="'), F.col("s_suppkey").cast("string"), F.lit('" Name="'), "s_name", F.lit('" Abstraction="Meta" Status="Stable"><Description>supplier</Description>'),
+        F.lit('<Related_Attack_Patterns><Related_Attack_Pattern Nature="ChildOf" CAPEC_ID="'), F.floor(F.col("s_suppkey") / 4).cast("string"), F.lit('"/></Related_Attack_Patterns>'),
+        F.lit('<Related_Weaknesses><Related_Weakness CWE_ID="'), F.col("s_suppkey").cast("string"), F.lit('"/></Related_Weaknesses>'),
+        F.lit('<Taxonomy_Mappings><Taxonomy_Mapping Taxonomy_Name="ATTACK"><Entry_ID>'), (1000 + F.col("s_nationkey")).cast("string"), F.lit("</Entry_ID></Taxonomy_Mapping>"),
+        F.lit('<Taxonomy_Mapping Taxonomy_Name="WASC"><Entry_ID>11</Entry_ID></Taxonomy_Mapping></Taxonomy_Mappings></Attack_Pattern>'),
+    ).alias("o"))
+    page(patterns, "w").select(F.concat(F.lit('<?xml version="1.0"?><Attack_Pattern_Catalog xmlns="http://example.org/capec"><Attack_Patterns>'), "w", F.lit("</Attack_Patterns></Attack_Pattern_Catalog>")).alias("value")).write.text(f"{at}/capec.xml")
+    return at
+
+
+_CUST_ID = "'T' || CAST(1000 + c_nationkey AS VARCHAR) || '.' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')"
+_NATION_ID = "'T' || CAST(1000 + n_nationkey AS VARCHAR)"
+
+
+@query(f"""
+SELECT 'TA' || lpad(CAST(r_regionkey AS VARCHAR), 4, '0') AS node_id, 'tactic' AS node_type, r_name AS name, '' AS description, 'active' AS status, CAST(NULL AS VARCHAR) AS revoked_by, 'tactic--' || CAST(r_regionkey AS VARCHAR) AS stix_id FROM region
+UNION ALL
+SELECT {_NATION_ID}, 'technique', n_name, 'nation ' || n_name, CASE WHEN n_nationkey % 6 = 1 AND n_nationkey < 24 AND (n_nationkey + 1) % 5 != 4 THEN 'revoked' WHEN n_nationkey % 7 = 3 THEN 'deprecated' ELSE 'active' END,
+  CASE WHEN n_nationkey % 6 = 1 AND n_nationkey < 24 AND (n_nationkey + 1) % 5 != 4 THEN 'T' || CAST(1001 + n_nationkey AS VARCHAR) END, 'nation--' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey % 5 != 4
+UNION ALL
+SELECT {_CUST_ID}, 'subtechnique', c_name, '', 'active', NULL, 'customer--' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 50 != 7""")
+def source_attack_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a bundle's enterprise objects."""
+    nodes = catalogs.load_attack(spark, f"{_catalog_files(spark, sf_dir)}/attack.json", ["enterprise"]).nodes
+    return nodes.select("node_id", "node_type", "name", "description", "status", "revoked_by", F.col("attrs.stix_id").alias("stix_id"))
+
+
+@query(f"""
+SELECT {_NATION_ID} AS src, 'TA' || lpad(CAST(n_regionkey AS VARCHAR), 4, '0') AS dst, 'in_tactic' AS edge_type FROM nation
+UNION ALL SELECT {_CUST_ID}, 'T' || CAST(1000 + c_nationkey AS VARCHAR), 'subtechnique_of' FROM customer WHERE c_custkey % 50 != 7 AND c_custkey % 4 != 0
+UNION ALL SELECT {_NATION_ID}, 'T' || CAST(1001 + n_nationkey AS VARCHAR), 'revoked_by' FROM nation WHERE n_nationkey % 6 = 1 AND n_nationkey < 24""")
+def source_attack_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a bundle, by references and by phases."""
+    return catalogs.load_attack(spark, f"{_catalog_files(spark, sf_dir)}/attack.json").edges.drop("load_seq")
+
+
+@query("""SELECT warning, count(*) AS n FROM (
+SELECT 'unparseable id odd id' AS warning FROM customer WHERE c_custkey % 50 = 7
+UNION ALL SELECT 'legacy course-of-action T' || CAST(1000 + n_nationkey AS VARCHAR) || ' skipped' FROM nation) GROUP BY warning""")
+def source_attack_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: what a bundle's loader skips."""
+    return catalogs.load_attack(spark, f"{_catalog_files(spark, sf_dir)}/attack.json").warnings.groupBy("warning").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'CWE-' || CAST(p_partkey AS VARCHAR) AS node_id, 'weakness' AS node_type, p_name AS name, p_type || ' & more' AS description, CASE WHEN p_partkey % 7 = 0 THEN 'deprecated' ELSE 'active' END AS status, 'Base' AS abstraction FROM part
+UNION ALL SELECT DISTINCT 'CWE-' || CAST(10000000 + p_size AS VARCHAR), 'weakness_category', 'size', 'Of a size.', 'active', CAST(NULL AS VARCHAR) FROM part
+UNION ALL SELECT 'CAPEC-' || CAST(s_suppkey AS VARCHAR), 'attack_pattern', s_name, 'supplier', 'active', 'Meta' FROM supplier""")
+def source_xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the weakness and pattern catalogues, none from a comment."""
+    at = _catalog_files(spark, sf_dir)
+    nodes = catalogs.load_all(spark, cwe=f"{at}/cwe.xml", capec=f"{at}/capec.xml").nodes
+    return nodes.select("node_id", "node_type", "name", "description", "status", F.col("attrs.abstraction").alias("abstraction"))
+
+
+@query("""
+SELECT 'CWE-' || CAST(p_partkey AS VARCHAR) AS src, 'CWE-' || CAST(p_partkey // 8 AS VARCHAR) AS dst, 'child_of' AS edge_type FROM part
+UNION ALL SELECT 'CWE-' || CAST(p_partkey AS VARCHAR), 'CAPEC-' || CAST(p_partkey % 13 + 1 AS VARCHAR), 'maps_to' FROM part
+UNION ALL SELECT 'CWE-' || CAST(p_partkey AS VARCHAR), 'CWE-' || CAST(10000000 + p_size AS VARCHAR), 'member_of' FROM part
+UNION ALL SELECT 'CAPEC-' || CAST(s_suppkey AS VARCHAR), 'CAPEC-' || CAST(s_suppkey // 4 AS VARCHAR), 'child_of' FROM supplier
+UNION ALL SELECT 'CAPEC-' || CAST(s_suppkey AS VARCHAR), 'CWE-' || CAST(s_suppkey AS VARCHAR), 'maps_to' FROM supplier
+UNION ALL SELECT 'CAPEC-' || CAST(s_suppkey AS VARCHAR), 'T' || CAST(1000 + s_nationkey AS VARCHAR), 'maps_to' FROM supplier""")
+def source_xml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, A4: hierarchy, mappings and members of the XML catalogues."""
+    at = _catalog_files(spark, sf_dir)
+    return catalogs.load_all(spark, cwe=f"{at}/cwe.xml", capec=f"{at}/capec.xml").edges.drop("load_seq")
+
+
+def _kb(spark: SparkSession, sf_dir: str) -> str:
+    """Four knowledge bases of the documents, by id."""
+    at = scratch_path(spark, "kb")
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), (F.col("doc_id") % 4).alias("k"), "source", "text")
+    for k, (kind, field) in enumerate(corpus.ID_FIELDS.items()):
+        lines = docs.where(F.col("k") == k).select(F.to_json(F.struct(F.col("i").alias(field), F.lit("other").alias("id"), F.col("source").alias("title"), F.col("text").alias("contents"))).alias("value"))
+        lines.unionByName(lines.limit(1).select(F.lit("  ").alias("value"))).write.text(f"{at}/{kind}.jsonl")
+    return at
+
+
+_KB_SQL = """SELECT (CASE doc_id % 4 WHEN 0 THEN 'CVE-' WHEN 1 THEN 'CWE-' WHEN 2 THEN 'CAPEC-' ELSE 'T' END) || CAST(doc_id AS VARCHAR) AS doc_id,
+  CASE doc_id % 4 WHEN 0 THEN 'cve' WHEN 1 THEN 'cwe' WHEN 2 THEN 'capec' ELSE 'attack' END AS source, coalesce(source, '') AS title,
+  regexp_replace(coalesce(source, '') || ' ' || coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM documents"""
+
+
+@query(f"SELECT doc_id, source, title, sha256(text) AS sha256 FROM ({_KB_SQL})")
+def source_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four knowledge bases as documents."""
+    docs = corpus.load_corpus(spark, _kb(spark, sf_dir))
+    return docs.select("doc_id", "source", "title", F.sha2("text", 256).alias("sha256"))
+
+
+@query(f"SELECT source, count(*) AS n FROM (SELECT source, CASE source WHEN 'cve' THEN 0 WHEN 'cwe' THEN 1 WHEN 'capec' THEN 2 ELSE 3 END AS k FROM ({_KB_SQL}) ORDER BY k LIMIT 120) GROUP BY source")
+def source_corpus_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit across all bases takes them in order."""
+    return corpus.load_corpus(spark, _kb(spark, sf_dir), limit=120).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id AS id, sha256(text) AS sha256, CASE WHEN source = 'cwe' THEN 'more' ELSE '' END AS expansion FROM ({_KB_SQL})")
+def sink_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged collection with its expansions, read back."""
+    docs = corpus.load_corpus(spark, _kb(spark, sf_dir))
+    # The record that was made last counts.
+    made = docs.where("source = 'cwe'").select("doc_id", F.explode(F.array(F.struct(F.lit("old").alias("expansion"), F.lit(1).alias("s")), F.struct(F.lit("more").alias("expansion"), F.lit(2).alias("s")))).alias("x"))
+    path = scratch_path(spark, "collection")
+    corpus.write_collection(index.with_expansion(docs, made.select("doc_id", "x.expansion", F.col("x.s").cast("long").alias("load_seq"))), path)
+    return spark.read.schema("id string, contents string, expansion string").json(path).select("id", F.sha2("contents", 256).alias("sha256"), "expansion")
+
+
+def _refusing(prompt: str, system: str | None) -> str:
+    """A model's replies: one term each, or a refusal where a text has a certain word."""
+    return "I would rather not." if "stupid" in prompt else '```json\n[{"term": " xyzzy ", "kind": "product"}]\n```'
+
+
+def _stub_client() -> model.StubClient:
+    return model.StubClient(responder=_refusing, fail_times=1, backoff_s=0.0)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[list[enrich.RunSummary], str]:
+    """Two runs over the documents: the second asks again for what the first failed at."""
+    docs = _read(spark, sf_dir, "documents").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", F.lit("report").alias("source"), "text")
+    g = graph.build(catalogs.empty(spark))
+    ix = index.build(docs)
+    at = scratch_path(spark, "run")
+    return [enrich.run_enrichment(docs, _stub_client, g, ix, at, concurrency=2, kinds=["report"]) for _ in range(2)], at
+
+
+_RUN_SQL = "d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, max(coalesce(text, '')) AS text FROM documents GROUP BY 1), r AS (SELECT *, contains(text, 'stupid') AS refused FROM d)"
+
+
+@query(f"""WITH {_RUN_SQL} SELECT doc_id, 'report' AS source, sha256(text) AS sha256, 'xyzzy' AS terms, 'stub' AS model, true AS called FROM r WHERE NOT refused""")
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a run, as written and read back."""
+    got = records.read_records(spark, _run(spark, sf_dir)[1])
+    return got.select("doc_id", "source", F.sha2("original_text", 256).alias("sha256"), records.expansion_text(F.col("proposed_terms")).alias("terms"), "model", (F.col("llm_calls") >= 1).alias("called"))
+
+
+@query(f"""WITH {_RUN_SQL}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE refused) AS bad FROM r)
+SELECT unnest(['total', 'done before', 'processed', 'failed', 'again total', 'again done before', 'again processed', 'again failed', 'calls', 'calls failed', 'prompt tokens', 'completion tokens', 'failures written']) AS measure,
+  unnest([total, 0, total - bad, bad, total, total - bad, 0, bad, total + 2 + bad + 2, 4, 10 * (total + bad), 5 * (total + bad), 2 * bad]) AS n FROM n""")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs count, and the calls and failures that they wrote."""
+    runs, at = _run(spark, sf_dir)
+    rows = [(pre + name, n) for pre, s in zip(("", "again "), runs) for name, n in (("total", s.total_docs), ("done before", s.already_done), ("processed", s.processed), ("failed", s.failed))]
+    calls = spark.read.schema("doc_id string, prompt long, completion long, ok boolean").json(f"{at}.calls")
+    sums = calls.agg(F.count("*"), F.count_if(~F.col("ok")), F.sum("prompt"), F.sum("completion")).first()
+    rows += list(zip(("calls", "calls failed", "prompt tokens", "completion tokens"), sums))
+    rows.append(("failures written", spark.read.schema("doc_id string, error string").json(f"{at}.failures").count()))
+    return spark.createDataFrame(rows, "measure string, n long")
+
+
+@query("SELECT 'stub' AS model, 'report' AS kinds, true AS has_prompt, substr(sha256('abc' || chr(10)), 1, 12) AS hash")
+def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's manifest, and the hash of a configuration file."""
+    made = enrich.read_manifest(spark, f"{_run(spark, sf_dir)[1]}.manifest")
+    path = scratch_path(spark, "configuration")
+    spark.createDataFrame([("abc",)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame([(made["model"], ",".join(made["kinds"]), bool(made["prompt_version"]), config.file_hash(spark, f"{path}/*.txt"))], "model string, kinds string, has_prompt boolean, hash string")

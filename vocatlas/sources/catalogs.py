@@ -181,7 +181,8 @@ def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFram
     text = unzipped(spark, path)
     whole = spark.createDataFrame([(text,)], "value string") if text is not None else spark.read.text(path, wholetext=True)
     # Prefixes of element names are dropped, as only local names count.
-    local = F.regexp_replace("value", r"(</?)[A-Za-z_][\w.\-]*:", "$1")
+    # Comments hold no elements.
+    local = F.regexp_replace(F.regexp_replace("value", r"(?s)<!--.*?-->", ""), r"(</?)[A-Za-z_][\w.\-]*:", "$1")
     found = F.regexp_extract_all(local, F.lit(rf"(?s)<{tag}(?:\s[^>]*?)?(?:/>|>.*?</{tag}\s*>)"), F.lit(0))
     rows = whole.select(F.posexplode(found).alias("pos", "xml"))
     return rows.select(F.col("pos").cast("long").alias("load_seq"), F.from_xml("xml", schema, {"mode": "FAILFAST", "valueTag": "_VALUE"}).alias("e"), "xml").select("load_seq", "e.*", "xml")
