@@ -70,3 +70,26 @@ def test_odd_rows(spark):
 def test_token_counts(spark):
     df = spark.createDataFrame([("a b c\n d",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(M.count_tokens(F.col("t"))).collect()] == [3, 0, 0]
+
+
+def test_rounds_go_on_until_targets_are_met(spark):
+    """Cells that depend on each other need more than the first rounds; both placements agree."""
+    rows = [("a", "x", "t", 1000), ("a", "y", "t", 1), ("b", "x", "t", 1), ("b", "y", "t", 1000), ("b", "y", "u", 5)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").withColumn("docs", F.lit(1))
+    targets = {"source": spark.createDataFrame([("a", 0.7), ("b", 0.3)], "value string, target double"), "lang": spark.createDataFrame([("x", 0.4), ("y", 0.6)], "value string, target double")}
+    one, many = (sorted((r.source, r.lang, r.topic, r.weight) for r in M.rake(cells, targets=targets, max_cells=n).collect()) for n in (100, 0))
+    assert [r[:3] for r in one] == [r[:3] for r in many] and [r[3] for r in one] == pytest.approx([r[3] for r in many])
+    assert sum(r[3] for r in one if r[0] == "a") == pytest.approx(0.7, abs=1e-8) and sum(r[3] for r in one if r[1] == "x") == pytest.approx(0.4, abs=1e-8)
+
+
+def test_targets_that_no_cells_can_meet(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10, 1), ("b", "y", "t", 10, 1)], "source string, lang string, topic string, tokens long, docs long")
+    targets = {"source": spark.createDataFrame([("a", 1.0)], "value string, target double"), "lang": spark.createDataFrame([("y", 1.0)], "value string, target double")}
+    with pytest.warns(M.NotConverged):
+        assert all(r.weight == 0 for r in M.rake(cells, targets=targets).collect())
+
+
+def test_raking_needs_no_shuffle(spark):
+    cells = M.cells_of(docs_of(spark))
+    plan = M.rake(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

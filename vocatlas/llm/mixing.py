@@ -2,7 +2,11 @@
 
 Documents fall into cells of source, language and topic. Iterative
 proportional fitting rakes the cells' token weights: in turn, each marginal's
-weights are scaled to its target, ``ROUNDS`` times. A cell's raked weight over
+weights are scaled to its target, ``ROUNDS`` times. Rounds are repeated by as
+many until no marginal's share is farther than ``TOLERANCE`` from its target,
+at most ``MAX_ROUNDS`` altogether; where they don't meet by then (stated targets
+may ask for cells that have no tokens) a ``NotConverged`` warning gives the
+distance, and the weights of the last round count. A cell's raked weight over
 its tokens is what a token of it is worth. Documents are sampled, by a hash of
 their id, with probability ``scale * worth`` but at most 1, where the scale is
 such that ``BUDGET`` of all tokens are expected. A cell whose probability is cut
@@ -13,10 +17,11 @@ Without stated targets a marginal's targets are its token shares to the power
 ``TEMPERATURE``, which lifts what is rare. Stated targets are frames of (value,
 target); values that they lack get no weight.
 
-Only the cells are shuffled more than once: a round is three window sums over
-a table with one row a cell. The cells are few; they are broadcast to the
-documents if they are counted to be at most ``MAX_CELLS`` and joined by shuffle
-beyond (where the adaptive join splits a cell that holds many documents).
+Only the cells are read more than once: a round is three window sums over
+a table with one row a cell. If the cells are counted to be at most ``MAX_CELLS``
+they are raked in one task, without a shuffle, and broadcast to the documents;
+beyond, sums are shuffled and the documents joined by shuffle (where the adaptive
+join splits a cell that holds many documents).
 
 Defined results: null keys are a value of their own, ``''``. Texts that are
 null or without words have no tokens; a cell without tokens has probability 0,
@@ -28,6 +33,8 @@ replaced.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +42,9 @@ from vocatlas.llm.base import table
 from vocatlas.session import cut
 
 ROUNDS = 12
+MAX_ROUNDS = 240
+#: Greatest distance of a marginal's share from its target.
+TOLERANCE = 1e-9
 TEMPERATURE = 0.7
 #: Share of all tokens to sample.
 BUDGET = 0.5
@@ -45,6 +55,10 @@ KEYS = ("source", "lang", "topic")
 TOPICS = (("note", 100), ("article", 1_000), ("report", 10_000))
 
 
+class NotConverged(UserWarning):
+    """The targets can't all be met, or not within ``MAX_ROUNDS``."""
+
+
 def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -61,7 +75,7 @@ def cells_of(docs: DataFrame, keys=KEYS, tokens: str = "n_tokens") -> DataFrame:
     return docs.groupBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys)).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("docs"))
 
 
-def rake(cells: DataFrame, keys=KEYS, rounds: int = ROUNDS, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def rake(cells: DataFrame, keys=KEYS, rounds: int = ROUNDS, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """``cells`` with ``weight``, the raked share of all tokens, and ``worth``, weight by token."""
     targets = targets or {}
     cur = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
@@ -75,14 +89,22 @@ def rake(cells: DataFrame, keys=KEYS, rounds: int = ROUNDS, temperature: float =
     # Targets are made shares: each value's target counts once, whatever its number of cells.
     totals = {}
     cur = cut(cur)
+    # One task's rows need no shuffle for a window by any key.
+    placed = (lambda df: df.coalesce(1)) if cur.count() <= max_cells else (lambda df: df)
     for k in keys:
         totals[k] = float(cur.select(k, f"t_{k}").distinct().agg(F.sum(f"t_{k}")).first()[0] or 1.0)
-    for k in keys:
-        cur = cur.withColumn(f"t_{k}", F.col(f"t_{k}") / F.lit(totals[k]))
-    for _ in range(rounds):
-        for k in keys:
-            cur = cur.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"t_{k}"), F.sum("weight").over(Window.partitionBy(k))), F.lit(0.0)))
-    cur = cut(cur)
+    cur = placed(cur.withColumns({f"t_{k}": F.col(f"t_{k}") / F.lit(totals[k]) for k in keys}))
+    sums = {k: F.sum("weight").over(Window.partitionBy(k)) for k in keys}
+    for done in range(rounds, max(MAX_ROUNDS, rounds) + 1, rounds):
+        for _ in range(rounds):
+            for k in keys:
+                cur = cur.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"t_{k}"), sums[k]), F.lit(0.0)))
+        cur = placed(cut(cur))
+        far = cur.select(F.greatest(F.lit(0.0), *(F.abs(sums[k] - F.col(f"t_{k}")) for k in keys)).alias("far")).agg(F.max("far")).first()[0] or 0.0
+        if far <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"after {done} rounds a marginal's share is {far:.3g} from its target", NotConverged, stacklevel=2)
     whole = float(cur.agg(F.sum("weight")).first()[0] or 1.0)
     return cur.select(*keys, "tokens", "docs", (F.col("weight") / whole).alias("weight"), (F.col("weight") / whole / F.col("tokens")).alias("worth"))
 
@@ -137,30 +159,32 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
-def _sql_rounds() -> str:
-    parts, prev = [], "shares"
-    for i in range(ROUNDS):
-        for k in KEYS:
-            name = f"r{i}_{k}"
-            parts.append(f"{name} AS (SELECT * REPLACE (weight * t_{k} / sum(weight) OVER (PARTITION BY {k}) AS weight) FROM {prev})")
-            prev = name
-    return ",\n".join(parts), prev
+def _sql_round(rows: str) -> str:
+    """One round over ``rows``, with each marginal's weights after it."""
+    for k in KEYS:
+        rows = f"SELECT * REPLACE (weight * t_{k} / sum(weight) OVER (PARTITION BY {k}) AS weight) FROM ({rows})"
+    return f"SELECT *, {', '.join(f'sum(weight) OVER (PARTITION BY {k}) AS m_{k}' for k in KEYS)} FROM ({rows})"
 
 
-_ROUNDS, _LAST = _sql_rounds()
+_SQL_FAR = f"greatest({', '.join(f'abs(m_{k} - t_{k})' for k in KEYS)})"
+_SQL_CELL = f"{', '.join(KEYS)}, tokens, weight, {', '.join(f't_{k}' for k in KEYS)}"
 _SQL_TOPIC = "CASE " + " ".join(f"WHEN n_tokens < {most} THEN '{name}'" for name, most in TOPICS) + " ELSE 'book' END"
 QUERIES = {"op8_mixing": op8_mixing}
 ORACLE_SQL = {
     "op8_mixing": rf"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT doc_id, source, lang, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
 d AS (SELECT *, {_SQL_TOPIC} AS topic, coalesce(source, '') AS s, coalesce(lang, '') AS l FROM t),
 cells AS (SELECT s AS source, l AS lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 raw AS (SELECT *, tokens AS weight, {', '.join(f'pow(sum(tokens) OVER (PARTITION BY {k}), {TEMPERATURE}) AS p_{k}' for k in KEYS)} FROM cells),
 {', '.join(f'z_{k} AS (SELECT sum(p) AS z FROM (SELECT DISTINCT {k}, p_{k} AS p FROM raw))' for k in KEYS)},
 shares AS (SELECT source, lang, topic, tokens, weight, {', '.join(f'p_{k} / (SELECT z FROM z_{k}) AS t_{k}' for k in KEYS)} FROM raw),
-{_ROUNDS},
-worths AS (SELECT source, lang, topic, tokens, weight / (SELECT sum(weight) FROM {_LAST}) AS weight, weight / (SELECT sum(weight) FROM {_LAST}) / tokens AS worth FROM {_LAST}),
+rounds AS (
+  SELECT {_SQL_CELL}, 0 AS n, CAST(1 AS DOUBLE) AS far FROM shares
+  UNION ALL
+  SELECT {_SQL_CELL}, n + 1, max({_SQL_FAR}) OVER () FROM ({_sql_round(f"SELECT * FROM rounds WHERE (n % {ROUNDS} != 0 OR far > {TOLERANCE}) AND n < {MAX_ROUNDS}")})),
+last AS (SELECT * FROM rounds WHERE n = (SELECT max(n) FROM rounds)),
+worths AS (SELECT source, lang, topic, tokens, weight / (SELECT sum(weight) FROM last) AS weight, weight / (SELECT sum(weight) FROM last) / tokens AS worth FROM last),
 runs AS (SELECT *, sum(tokens) OVER o - tokens AS above, sum(weight) OVER (ORDER BY worth, source DESC, lang DESC, topic DESC) AS rest FROM worths WINDOW o AS (ORDER BY worth DESC, source, lang, topic)),
 scales AS (SELECT ({BUDGET} * (SELECT sum(tokens) FROM worths) - above) / rest AS scale, worth FROM runs),
 probs AS (SELECT source, lang, topic, least(1.0, worth * (SELECT scale FROM scales WHERE scale * worth < 1 ORDER BY worth DESC LIMIT 1)) AS p FROM worths),
