@@ -106,9 +106,7 @@ class Store:
         by = by or KEYS
         snapshot, members = self._snapshot()
         folders = [f"{self.path}/{snapshot}"] * bool(snapshot) + [f"{self.path}/batch={b}" for b in self.batches() if b not in members]
-        rows = self.spark.createDataFrame([], SUMS)
-        for f in folders:
-            rows = rows.union(self.spark.read.schema(SUMS).parquet(f))
+        rows = self.spark.read.schema(SUMS).parquet(*folders) if folders else self.spark.createDataFrame([], SUMS)
         return rows.groupBy(*by).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
     def compact(self) -> None:
