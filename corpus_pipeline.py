@@ -63,9 +63,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents sampled for the target mix, with their tokens and probability."""
-    counted = docs.withColumn("n_tokens", mixing.count_tokens(F.col("text"))).withColumn("topic", mixing.topic_of(F.col("n_tokens")))
-    return mixing.mix(counted).where("sampled").drop("sampled")
+    """The documents sampled for the target mix, with all their columns and the
+    added ``n_tokens``, ``topic`` and ``probability``.
+
+    Where docs has a column of such a name it stays as it is, and the added one is
+    called ``mix_`` and the name. A ``topic`` of the documents' own is the one
+    that is raked; without it the third marginal is a class of length."""
+    taken = {c.lower() for c in docs.columns}
+    own = next((c for c in docs.columns if c.lower() == "topic"), None)
+    counted = _wrapped(docs).select("doc_id", "text", "rest", F.col("rest.source"), F.col("rest.lang"), mixing.count_tokens(F.col("text")).alias("n_tokens"))
+    counted = counted.withColumn("topic", F.col(f"rest.`{own}`").cast("string") if own else mixing.topic_of(F.col("n_tokens")))
+    mixed = mixing.mix(counted).where("sampled")
+    kept = [c if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return mixed.select(*kept, *(F.col(c).alias(f"mix_{c}" if c in taken else c) for c in ("n_tokens", "topic", "probability")))
 
 
 STAGES = [
