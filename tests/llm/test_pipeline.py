@@ -87,6 +87,8 @@ def test_stages_one_by_one(spark, corpus):
     last = P.STAGES[4][1](spark, docs, path)
     assert {"n_tokens", "topic", "probability"} <= set(last.columns) and 0 < last.count() <= docs.count()
     assert ids(last) == sorted(set(ids(last))) and set(ids(last)) <= set(kept)
+    # Columns of docs stay; the stage's own go by another name beside them.
+    assert last.columns[: len(docs.columns)] == docs.columns and "mix_probability" in last.columns and {r.probability for r in last.select("probability").collect()} == {"p"}
     again = P.run(spark, path)
     assert ids(again) == ids(last)
 
@@ -97,3 +99,13 @@ def test_empty_table(spark, corpus, tmp_path):
         os.symlink(f"{path}/{t}.parquet", tmp_path / f"{t}.parquet")
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_mixing_rakes_the_documents_own_topic(spark, corpus):
+    """A topic of their own, whatever its type, takes the place of the length class and isn't changed."""
+    path, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("topic", F.array("source")).withColumn("n_tokens", F.lit("mine")).withColumn("mix", F.lit(0))
+    out = P.mix_sources(spark, docs, path)
+    assert out.columns == [*docs.columns, "mix_n_tokens", "mix_topic", "mix_probability"]
+    rows = out.collect()
+    assert rows and all(r.n_tokens == "mine" and r.topic == [r.source] and r.mix_topic == f"[{'null' if r.source is None else r.source}]" for r in rows)
