@@ -231,6 +231,51 @@ def test_a_text_is_compared_in_all_its_large_classes(spark, monkeypatch):
     assert {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == want
 
 
+def test_only_texts_with_a_possible_partner_are_compared_whole(spark, monkeypatch):
+    """Texts that share a line alone aren't dealt as whole sets to the blocks of its classes; families that share it are still found."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    # No shingle is known to be common, so that the line's are among the first ones.
+    monkeypatch.setattr(N, "common_shingles", lambda *a, **k: (np.zeros(0, np.uint64), np.zeros(0, np.uint8)))
+    rng, dealt, compare = random.Random(31), [], N._class_links
+    monkeypatch.setattr(N, "_class_links", lambda rows, threshold: dealt.extend(r.node for r in rows.select("node").distinct().collect()) or compare(rows, threshold))
+    line = [f"l{i}" for i in range(24)]
+    texts = [line + [f"t{t}w{i}" for i in range(rng.randrange(180, 190))] for t in range(120)]
+    for f in range(2):
+        base = line + [f"f{f}w{i}" for i in range(414)]
+        for c in range(30):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randrange(5, 8)):
+                w[at] = f"e{f}x{c}y{at}"
+            texts.append(w)
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    want = all_pairs_groups(docs)
+    assert want and {r.doc_id: r.group_id for r in N.near_groups(docs).collect()} == want
+    assert len(set(dealt)) <= 60
+
+
+@pytest.mark.parametrize("share", [0.5, 0.8, 0.95, 1.0])
+def test_no_similar_set_is_without_a_partner(share):
+    """``with_partner`` against all pairs, for sets of many sizes and their prefixes in one order."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 2, 5, 9, 40, 200):
+        base = rng.choice(1 << 20, size, replace=False)
+        sets += [np.unique(np.r_[base[rng.random(size) < share], rng.choice(1 << 20, rng.integers(1, 2 + size // 8))]) for _ in range(12)]
+    n = np.array([len(s) for s in sets], float)
+    prefixes = [s[: N.prefix_size(len(s), 0.8)] for s in sets]
+    roots = [i // 2 for i in range(len(sets))]
+    for side in (np.zeros(len(sets), bool), np.arange(len(sets)) % 3 == 0):
+        similar = {
+            i
+            for i, a in enumerate(sets)
+            for j, b in enumerate(sets)
+            if roots[i] != roots[j] and (not side.any() or side[i] != side[j]) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        }
+        assert similar <= set(np.flatnonzero(N.with_partner(prefixes, n, side, roots, 0.8)).tolist())
+        assert similar or share == 0.5
+
+
 def test_short_similar_texts_meet_for_certain(spark):
     """Pairs of 45 shingles at 0.8; the first ones have no passage in common."""
     texts = []

@@ -22,6 +22,7 @@ unless all its ids are null. Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -169,20 +170,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-def similar_links(members: list[tuple[int, np.ndarray]], side: np.ndarray, threshold: float, roots: list | None = None) -> list[tuple[int, int]]:
-    """Links between (node, sorted shingle hashes) with the closure of all pairs
-    of a Jaccard similarity of ``threshold`` or more.
-
-    Every pair's shingles in common are counted. ``side`` tells two blocks
-    apart: pairs within one of two blocks are another group's. Of ``roots``,
-    what the nodes are joined to already, only links between different ones are given.
-    """
-    m = len(members)
-    sizes = np.array([len(s) for _, s in members])
-    values, at, often = np.unique(np.concatenate([s for _, s in members]), return_inverse=True, return_counts=True)
+def in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets have in common."""
+    m = len(sets)
+    values, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = often > 1
     column = (np.cumsum(shared) - 1)[at]
-    row = np.repeat(np.arange(m), sizes)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
     keep = shared[at]
     order = np.argsort(column[keep], kind="stable")
     row, column = row[keep][order], column[keep][order]
@@ -192,6 +186,32 @@ def similar_links(members: list[tuple[int, np.ndarray]], side: np.ndarray, thres
         has = np.zeros((m, COLUMNS), np.float32)
         has[row[a:b], column[a:b] - first] = 1
         same += has @ has.T
+    return same
+
+
+def with_partner(prefixes: list[np.ndarray], n: np.ndarray, side: np.ndarray, roots: list, threshold: float) -> np.ndarray:
+    """Whether a text of another root may be similar, as far as the texts' sizes ``n`` and the shared
+    members of their prefixes tell: the bound of ``_plausible``. ``side`` as for ``similar_links``."""
+    root = np.unique(np.array(roots), return_inverse=True)[1]
+    most, least = np.maximum(n[:, None], n[None, :]), np.minimum(n[:, None], n[None, :])
+    able = (root[:, None] != root[None, :]) & (least >= threshold * most - 1e-6)
+    if side.any() and not side.all():
+        able &= side[:, None] != side[None, :]
+    need = threshold / (1 + threshold) * (most + least) - 1e-6
+    return (able & (in_common(prefixes) + np.ceil(threshold * most - 1e-6) - 1 >= need)).any(axis=1)
+
+
+def similar_links(members: list[tuple[int, np.ndarray]], side: np.ndarray, threshold: float, roots: list | None = None) -> list[tuple[int, int]]:
+    """Links between (node, sorted shingle hashes) with the closure of all pairs
+    of a Jaccard similarity of ``threshold`` or more.
+
+    Every pair's shingles in common are counted. ``side`` tells two blocks
+    apart: pairs within one of two blocks are another group's. Of ``roots``,
+    what the nodes are joined to already, only links between different ones are given.
+    """
+    m = len(members)
+    sizes = np.array([len(s) for _, s in members])
+    same = in_common([s for _, s in members])
     near = same >= threshold * (sizes[:, None] + sizes[None, :] - same)
     if side.any() and not side.all():
         near &= side[:, None] != side[None, :]
@@ -288,35 +308,51 @@ def prefix_features(docs: DataFrame, id_col: str, text_col: str, shingle: int, t
     return src.mapInArrow(run, schema)
 
 
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list], np.ndarray]]:
+    """The rows of each (class, bi, bj), as lists, and which side they are on."""
+
+    def each() -> Iterator[list]:
+        for b in batches:
+            at = b.schema.names.index("s")
+            # Copies, as the batch would stay in memory otherwise.
+            sets = [b.column(at)[i].values.to_numpy().copy() for i in range(b.num_rows)]
+            yield from map(list, zip(*(sets if k == at else b.column(k).to_pylist() for k in range(b.num_columns))))
+
+    for (_, bi, _), rows in itertools.groupby(each(), key=lambda r: r[:3]):
+        group = list(rows)
+        yield group, np.array([r[3] != bi for r in group])
+
+
+def _by_class(rows: DataFrame) -> DataFrame:
+    """``rows`` with those of a (class, block pair) together."""
+    return rows.repartition(partitions(rows.sparkSession), "class", "bi", "bj").sortWithinPartitions("class", "bi", "bj")
+
+
 def _class_links(rows: DataFrame, threshold: float) -> DataFrame:
     """Links within each (class, block pair) of ``rows``: class, bi, bj, own (a
     node's block), node, root (what it is joined to already), s (its shingles)."""
-    n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "class", "bi", "bj").sortWithinPartitions("class", "bi", "bj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, sides, roots = None, [], [], []
+        for group, side in _group_rows(batches):
+            found = similar_links([(r[4], r[6]) for r in group], side, threshold, [r[5] for r in group]) if len(group) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
-        def links():
-            found = similar_links(group, np.array(sides), threshold, roots) if len(group) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+    return _by_class(rows).select("class", "bi", "bj", "own", "node", "root", "s").mapInArrow(run, "a long, b long")
 
-        for b in batches:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            own, nodes, root = (b.column(i).to_pylist() for i in (3, 4, 5))
-            for i, key in enumerate(keys):
-                if key != at:
-                    if group:
-                        yield links()
-                    at, group, sides, roots = key, [], [], []
-                # A copy, as the batch would stay in memory otherwise.
-                group.append((nodes[i], b.column(6)[i].values.to_numpy().copy()))
-                sides.append(own[i] != key[1])
-                roots.append(root[i])
-        if group:
-            yield links()
-
-    return dealt.select("class", "bi", "bj", "own", "node", "root", "s").mapInArrow(run, "a long, b long")
+
+def _hopeful(rest: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``rest`` that a node of another piece of their class may be similar to, by ``lists``, the shared
+    shingles of their prefixes. Blocks of these are a small part of the blocks of whole sets that the others would need."""
+    rows = _blocks(rest, lists.select("node", "n", F.col("keys").alias("s")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, side in _group_rows(batches):
+            able = with_partner([r[6] for r in group], np.array([r[7] for r in group], float), side, [r[5] for r in group], threshold)
+            kept = [r for r, x in zip(group, able.tolist()) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], pa.int64()) for i in (0, 4, 5)], names=["class", "node", "root"])
+
+    dealt = _by_class(rows).select("class", "bi", "bj", "own", "node", "root", "s", "n")
+    return cut(dealt.mapInArrow(run, "class long, node long, root long").distinct())
 
 
 def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, once: bool) -> DataFrame:
@@ -349,10 +385,9 @@ def _verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(same >= F.lit(threshold) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
-def _plausible(pairs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose prefixes, of which ``shared`` has all that texts share, have enough shingles in common: beyond them, no
+def _plausible(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose prefixes, of which ``lists`` has all that texts share, have enough shingles in common: beyond them, no
     more can be than the longer rest of a set behind its prefix."""
-    lists = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n")))
     end = lambda c: lists.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("n").alias(f"n_{c}"))
     both = salted_join(salted_join(pairs, end("b"), "b"), end("a"), "a")
     rest = F.ceil(F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-6)) - 1
@@ -383,7 +418,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first compared with one node, which is linear and joins most of a family.
     Where such a class is in several pieces still, classes of mostly the same nodes are taken as one, and the nodes
     outside its largest piece are compared with all its nodes, in pairs of
-    blocks of ``BLOCK``.
+    blocks of ``BLOCK``: first by their shared first shingles, which rule most
+    nodes out, and what is left by whole sets.
     """
     spark = docs.sparkSession
     whole = docs.where(F.col(id_col).isNotNull())
@@ -420,12 +456,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     all_of_few = few.join(other, "key").where(F.col("node") < F.col("b")).where(_possible("n", "at", "b_n", "b_at", threshold)).select(F.col("node").alias("a"), "b")
     candidates = cut(equal.union(golay_links).union(star).union(all_of_few).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    candidates = cut(_plausible(candidates, shared, threshold))
+    lists = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n")))
+    candidates = cut(_plausible(candidates, lists, threshold))
     once = features.groupBy(id_col).count().where("count > 1").isEmpty()
     sets_of = lambda some: _shingle_sets(nodes.select("node", id_col).join(some.distinct(), "node"), docs, id_col, text_col, shingle, once)
     good = cut(_verified(candidates, sets_of(candidates.select(F.explode(F.array("a", "b")).alias("node"))), threshold))
     roots = cut(components(good))
     rest = _unsettled(live, roots)
+    rest = rest if rest.isEmpty() else _hopeful(rest, lists, threshold)
     if not rest.isEmpty():
         more = cut(_class_links(_blocks(rest, sets_of(rest.select("node"))), threshold).distinct())
         roots = cut(components(good.union(more)))
@@ -458,7 +496,7 @@ def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """``rest`` with ``s``, a row for each pair of blocks (``bi``, ``bj``) of a
+    """``rest`` with ``s`` and all else of ``sets``, a row for each pair of blocks (``bi``, ``bj``) of a
     class that a node is compared in: all but its largest piece with all nodes."""
     by_piece = cut(rest.groupBy("class", "root").agg(F.count("*").alias("m")))
     largest = by_piece.groupBy("class").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m"))
@@ -471,7 +509,8 @@ def _blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
     own = F.when(is_top, F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer"))).cast("int")
     others = F.when(is_top, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
     pairs = placed.select("class", "node", "root", own.alias("own"), others.alias("others")).join(sets, "node")
-    return pairs.select("class", "node", "root", "s", "own", F.explode("others").alias("other")).select("class", "node", "root", "s", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    columns = ["class", "root", *sets.columns, "own"]
+    return pairs.select(*columns, F.explode("others").alias("other")).select(*columns, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
