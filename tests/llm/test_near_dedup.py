@@ -81,6 +81,23 @@ def test_components_of_hubs(spark, monkeypatch):
     assert got == groups(links, {x for p in links for x in p})
 
 
+@pytest.mark.parametrize("at_once, steps", [(500_000, 0), (1_000, 1)])
+def test_components_by_steps_and_at_once(spark, monkeypatch, at_once, steps):
+    """Links that fit in a task take no star step, more links do; both give the same."""
+    from vocatlas.llm import components as C
+
+    taken, step = [], C._large_star
+    monkeypatch.setattr(C, "AT_ONCE", at_once)
+    monkeypatch.setattr(C, "_large_star", lambda *a: taken.append(1) or step(*a))
+    rng = random.Random(at_once)
+    chain = [x << 30 for x in rng.sample(range(-(1 << 30), 1 << 30), 700)]
+    links = list(zip(chain, chain[1:])) + [(5, i) for i in range(6, 400)] + [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(500)]
+    links = [x for x in links if x[0] != x[1]] + [(9, 9), (None, 3)]
+    got = C.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(groups(links[:-2], {x for p in links[:-2] for x in p}).items())
+    assert bool(taken) == bool(steps)
+
+
 def test_salted_join_is_the_join(spark):
     from vocatlas.llm.base import salted_join
 

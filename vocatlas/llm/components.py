@@ -3,19 +3,27 @@
 Alternating large-star and small-star steps (Kiveris et al., 2014): each step
 is one shuffle of the links, and the links turn into stars around each
 component's least node. The links of a hub are dealt to several tasks. Steps are cut by ``checkpoint()``, so that a lost
-executor costs at most one of them.
+executor costs at most one of them. Up to ``AT_ONCE`` links need no steps: one task joins them, so that the driver
+doesn't plan some hundred shuffles for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vocatlas.llm.base import partitions, salted_join
 from vocatlas.session import cut
 
 #: Links of a task: fewer links take fewer tasks than a shuffle has partitions.
 LINKS_PER_TASK = 20_000
+#: Links that one task joins at once, 16 bytes each; more take star steps.
+AT_ONCE = 500_000
 #: Steps needed grow with the log of the longest chain; this is for chains beyond any data.
 MAX_ROUNDS = 60
 
@@ -43,6 +51,34 @@ def _small_star(links: DataFrame, tasks: int, n: int) -> DataFrame:
     return moved.union(joined.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links and the least that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        if np.array_equal(p, q):
+            return nodes, nodes[root]
+        # Every root that has a lesser one beside it goes to the least of them, then each node to its new root.
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
+def _at_once(links: DataFrame) -> DataFrame:
+    """``components`` of links that fit in a task."""
+    kind = links.schema["a"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(i).to_numpy() for i in range(2)] for b in batches]
+        if got:
+            found = least_reached(*(np.concatenate(x) for x in zip(*got)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "root"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root``, the least node that it reaches, for all nodes of ``links``.
 
@@ -53,6 +89,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     cur = cut(whole.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
     signs = None
     n, most = cur.count(), partitions(links.sparkSession)
+    if n <= AT_ONCE:
+        return cut(_at_once(cur))
     for _ in range(MAX_ROUNDS):
         tasks = max(1, min(most, -(-n // LINKS_PER_TASK)))
         nxt = cut(_small_star(_large_star(cur.coalesce(tasks), tasks, n), tasks, n))

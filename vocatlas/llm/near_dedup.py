@@ -273,10 +273,10 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int, texts: int = S
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(h.astype(np.uint64)).view(np.int64))], names=["h"])
 
     counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
-    rows = counts.orderBy(F.desc("count"), "h").limit(most).collect()
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.log2(np.array([r["count"] for r in rows] or [1], float)).astype(np.uint8)[: len(h)][order]
+    return h[order], np.log2(rows["count"].to_numpy().astype(float)).astype(np.uint8)[order]
 
 
 def prefix_features(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, common) -> DataFrame:
