@@ -81,13 +81,14 @@ def test_components_of_hubs(spark, monkeypatch):
     assert got == groups(links, {x for p in links for x in p})
 
 
-@pytest.mark.parametrize("at_once, steps", [(500_000, 0), (1_000, 1)])
-def test_components_by_steps_and_at_once(spark, monkeypatch, at_once, steps):
-    """Links that fit in a task take no star step, more links do; both give the same."""
+@pytest.mark.parametrize("at_once, steps, per_task", [(500_000, 0, 20_000), (1_000, 1, 20_000), (0, 1, 100)])
+def test_components_by_steps_and_at_once(spark, monkeypatch, at_once, steps, per_task):
+    """Links that fit in a task take no star step, more links do, in one task or several; all give the same."""
     from vocatlas.llm import components as C
 
     taken, step = [], C._large_star
     monkeypatch.setattr(C, "AT_ONCE", at_once)
+    monkeypatch.setattr(C, "LINKS_PER_TASK", per_task)
     monkeypatch.setattr(C, "_large_star", lambda *a: taken.append(1) or step(*a))
     rng = random.Random(at_once)
     chain = [x << 30 for x in rng.sample(range(-(1 << 30), 1 << 30), 700)]
