@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vocatlas.llm import golay
 from vocatlas.llm import near_dedup as N
@@ -272,6 +273,34 @@ def test_only_texts_with_a_possible_partner_are_compared_whole(spark, monkeypatc
     assert len(set(dealt)) <= 60
 
 
+def test_few_documents_are_written_to_few_files(spark, monkeypatch):
+    """However many partitions the session asks for: each file costs a task and, in a local store, a process."""
+    rng, written = random.Random(41), []
+    vocabulary = ["w%d" % i for i in range(500)]
+    texts = [t for size in (20, 3, 2) for t in variants(rng, [rng.choice(vocabulary) for _ in range(60)], vocabulary, size, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    asked = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in asked}
+    want = all_pairs_groups(docs)
+    cut = N.cut
+    monkeypatch.setattr(N, "cut", lambda *a: written.append(cut(*a)) or written[-1])
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.group_id for r in N.near_groups(docs).collect()}
+        kept = {r.doc_id for r in N.drop_near_copies(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert want and got == want and kept == {i for i in range(len(texts)) if want.get(i, i) == i}
+    assert len(written) > 20 and {df.rdd.getNumPartitions() for df in written} == {1}
+
+
+def test_tasks_grow_with_documents_and_shingles(spark):
+    size = lambda docs, n: N._tasks(spark.range(docs).select(F.lit(n).cast("int").alias("n")))
+    assert [size(0, 0), size(1, 9), size(5_001, 9), size(20_000, 0), size(3, 1 << 30)] == [1, 1, 2, 4, 3 << 10]
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8, 0.95, 1.0])
 def test_no_similar_set_is_without_a_partner(share):
     """``with_partner`` against all pairs, for sets of many sizes and their prefixes in one order."""

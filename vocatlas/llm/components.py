@@ -79,14 +79,14 @@ def _at_once(links: DataFrame) -> DataFrame:
     return links.select("a", "b").coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", tasks: int | None = None) -> DataFrame:
     """``node`` and ``root``, the least node that it reaches, for all nodes of ``links``.
 
     Links of a node to itself and repeated links are of no effect, null ends
-    are dropped, and without links the result is empty.
+    are dropped, and without links the result is empty. ``tasks`` that write the links at most, as for ``cut``.
     """
     whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cur = cut(whole.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
+    cur = cut(whole.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct(), tasks)
     signs = None
     n, most = cur.count(), partitions(links.sparkSession)
     if n <= AT_ONCE:

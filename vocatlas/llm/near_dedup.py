@@ -51,6 +51,8 @@ SAMPLE, MAX_COMMON = 5_000, 250_000
 SMALL = 16
 #: Nodes of a larger class compared at once, and their shingles on average.
 BLOCK, BLOCK_SHINGLES = 512, 1024
+#: Documents, and their shingles, that a task of ``near_groups`` takes at least, where the session asks for more partitions.
+DOCS_PER_TASK, SHINGLES_PER_TASK = 5_000, 1 << 20
 #: Shingles whose counts are added up at once.
 COLUMNS = 2048
 #: Ids or keys that may be broadcast, 8 or 16 bytes each.
@@ -135,20 +137,20 @@ def _midpoint_rows(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "fp long, point long")
 
 
-def hamming_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def hamming_links(prints: DataFrame, bucket: int = BUCKET, tasks: int | None = None) -> DataFrame:
     """Links ``a``, ``b`` whose closure is that of all pairs of distinct
     fingerprints within two bits. Each link is such a pair, or its ends meet
-    in a point within one bit of both.
+    in a point within one bit of both. ``tasks`` as for ``cut``.
     """
     distinct = prints.select("fp").distinct()
     size = _golay_rows(distinct).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    size = cut(size)
+    size = cut(size, tasks)
     near = F.bit_count(F.expr("a ^ b")) <= RADIUS
     pairs = size.where("n = 2").where(near).select("a", "b")
     crowded = size.where("n > 2").select("key", "n")
     if crowded.count() <= MAX_BROADCAST:
         crowded = F.broadcast(crowded)
-    shared = cut(_golay_rows(distinct).join(crowded, "key"))
+    shared = cut(_golay_rows(distinct).join(crowded, "key"), tasks)
     small = shared.where(F.col("n") <= bucket).select("key", "fp")
     pairs = pairs.union(
         small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").where("a < b").where(near).select("a", "b")
@@ -340,10 +342,10 @@ def _class_links(rows: DataFrame, threshold: float) -> DataFrame:
     return _by_class(rows).select("class", "bi", "bj", "own", "node", "root", "s").mapInArrow(run, "a long, b long")
 
 
-def _hopeful(rest: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+def _hopeful(rest: DataFrame, lists: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """The rows of ``rest`` that a node of another piece of their class may be similar to, by ``lists``, the shared
     shingles of their prefixes. Blocks of these are a small part of the blocks of whole sets that the others would need."""
-    rows = _blocks(rest, lists.select("node", "n", F.col("keys").alias("s")))
+    rows = _blocks(rest, lists.select("node", "n", F.col("keys").alias("s")), tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, side in _group_rows(batches):
@@ -352,13 +354,13 @@ def _hopeful(rest: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], pa.int64()) for i in (0, 4, 5)], names=["class", "node", "root"])
 
     dealt = _by_class(rows).select("class", "bi", "bj", "own", "node", "root", "s", "n")
-    return cut(dealt.mapInArrow(run, "class long, node long, root long").distinct())
+    return cut(dealt.mapInArrow(run, "class long, node long, root long").distinct(), tasks)
 
 
-def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, once: bool) -> DataFrame:
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, once: bool, tasks: int) -> DataFrame:
     """``node`` and ``s``, its text's shingles, for ``wanted``: ``id_col`` and node, one id a node.
     ``once``: no id has several rows."""
-    wanted = cut(wanted)
+    wanted = cut(wanted, tasks)
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col(id_col)).select("node", "__text")
@@ -401,6 +403,13 @@ def _possible(n: str, at: str, other_n: str, other_at: str, threshold: float):
     return F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at)) >= need
 
 
+def _tasks(features: DataFrame) -> int:
+    """How many tasks the documents need, by their number and by their shingles. Every table between the steps of
+    ``near_groups`` grows with these; the rows dealt to pairs of blocks, that may grow faster, keep the session's partitions."""
+    docs, shingles = features.agg(F.count("*"), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()
+    return max(1, -(-docs // DOCS_PER_TASK), -(-shingles // SHINGLES_PER_TASK))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``id_col`` and ``group_id``, the least id of the documents that are
     reached by links of similarity ``threshold`` or more. Only groups of two or
@@ -425,21 +434,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = docs.where(F.col(id_col).isNotNull())
     features = _written(prefix_features(whole, id_col, text_col, shingle, threshold, common_shingles(whole, text_col, shingle)), "near-features").where("node is not null")
     ids = features.select("node", id_col)
+    tasks = _tasks(features)
     nodes = _written(
         features.groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")),
         "near-nodes",
+        tasks,
     )
     # SimHash: nodes of one fingerprint meet at the least of them, and these meet by Golay keys.
-    least_of = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("m")))
+    least_of = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("m")), tasks)
     equal = salted_join(nodes.select("fp", "node"), least_of.where("m > 1").select("fp", "least"), "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     end = lambda c: least_of.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
-    golay_links = hamming_links(least_of).join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    golay_links = hamming_links(least_of, tasks=tasks).join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     # Classes of first shingles: those of one node, by far the most, go while the rows are together.
     index = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - F.lit(1e-6))
     rows = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     by_key = Window.partitionBy("key")
     rows = rows.withColumn("size", F.count("*").over(by_key)).withColumn("any", F.max(index).over(by_key))
-    shared = _written(rows.where("size > 1").select("key", "node", "n", "at", "any", index.alias("index")), "near-rows")
+    shared = _written(rows.where("size > 1").select("key", "node", "n", "at", "any", index.alias("index")), "near-rows", tasks)
     # A class needs a node that may be the smaller one of a pair.
     rows = shared.where("any").drop("any")
     stats = rows.groupBy("key").agg(
@@ -447,63 +458,63 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.col("at").cast("long")).alias("places"),
     )
     # Of classes with the same nodes the first in the order is enough.
-    stats = cut(stats.groupBy("size", "x", "y", "lo", "hi").agg(F.min_by(F.struct("key", "rep"), F.struct("places", "key")).alias("k")).select("k.key", "size", "k.rep"))
+    stats = cut(stats.groupBy("size", "x", "y", "lo", "hi").agg(F.min_by(F.struct("key", "rep"), F.struct("places", "key")).alias("k")).select("k.key", "size", "k.rep"), tasks)
     live = _written(salted_join(rows, stats, "key", counts=stats.select("key", F.col("size").alias("__n"))).select(
         "key", "node", "n", "at", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n"), F.col("rep.at").alias("rep_at")
-    ), "near-classes")
+    ), "near-classes", tasks)
     star = live.where((F.col("size") > SMALL) & (F.col("node") != F.col("rep"))).where(_possible("n", "at", "rep_n", "rep_at", threshold)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
     few = live.where(F.col("size") <= SMALL)
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     all_of_few = few.join(other, "key").where(F.col("node") < F.col("b")).where(_possible("n", "at", "b_n", "b_at", threshold)).select(F.col("node").alias("a"), "b")
-    candidates = cut(equal.union(golay_links).union(star).union(all_of_few).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    lists = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n")))
-    candidates = cut(_plausible(candidates, lists, threshold))
+    candidates = cut(equal.union(golay_links).union(star).union(all_of_few).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tasks)
+    lists = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n")), tasks)
+    candidates = cut(_plausible(candidates, lists, threshold), tasks)
     once = features.groupBy(id_col).count().where("count > 1").isEmpty()
-    sets_of = lambda some: _shingle_sets(nodes.select("node", id_col).join(some.distinct(), "node"), docs, id_col, text_col, shingle, once)
-    good = cut(_verified(candidates, sets_of(candidates.select(F.explode(F.array("a", "b")).alias("node"))), threshold))
-    roots = cut(components(good))
-    rest = _unsettled(live, roots)
-    rest = rest if rest.isEmpty() else _hopeful(rest, lists, threshold)
+    sets_of = lambda some: _shingle_sets(nodes.select("node", id_col).join(some.distinct(), "node"), docs, id_col, text_col, shingle, once, tasks)
+    good = cut(_verified(candidates, sets_of(candidates.select(F.explode(F.array("a", "b")).alias("node"))), threshold), tasks)
+    roots = cut(components(good, tasks=tasks), tasks)
+    rest = _unsettled(live, roots, tasks)
+    rest = rest if rest.isEmpty() else _hopeful(rest, lists, threshold, tasks)
     if not rest.isEmpty():
-        more = cut(_class_links(_blocks(rest, sets_of(rest.select("node"))), threshold).distinct())
-        roots = cut(components(good.union(more)))
+        more = cut(_class_links(_blocks(rest, sets_of(rest.select("node")), tasks), threshold).distinct(), tasks)
+        roots = cut(components(good.union(more), tasks=tasks), tasks)
     named = nodes.select("node", F.col(id_col).alias("first"), "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("copies").alias("members")).where("members > 1").select("root", "group_id")
-    known = cut(salted_join(named.select("node", "root"), least, "root").select("node", "group_id"))
-    return salted_join(ids, known, "node").select(id_col, "group_id")
+    known = cut(salted_join(named.select("node", "root"), least, "root").select("node", "group_id"), tasks)
+    return salted_join(ids, known, "node").select(id_col, "group_id").coalesce(tasks)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, from a table in the shared folder."""
+def _written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """The rows, from a table in the shared folder; ``tasks`` as for ``cut``."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
+def _unsettled(live: DataFrame, roots: DataFrame, tasks: int) -> DataFrame:
     """``class``, ``node`` and ``root`` of the classes that links have not made
     one piece, those of mostly the same nodes as one class."""
     # All pairs of the small classes were compared.
-    placed = cut(live.where(F.col("size") > SMALL).join(roots, "node", "left").select("key", "node", "at", "size", F.coalesce("root", "node").alias("root")))
+    placed = cut(live.where(F.col("size") > SMALL).join(roots, "node", "left").select("key", "node", "at", "size", F.coalesce("root", "node").alias("root")), tasks)
     pieces = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("key")
-    open_rows = cut(salted_join(placed, pieces, "key"))
+    open_rows = cut(salted_join(placed, pieces, "key"), tasks)
     # Neighbours in their nodes' order are the classes that may have the same nodes.
     following = open_rows.withColumn("next", F.lead(F.struct("key", "size")).over(Window.partitionBy("node").orderBy("at"))).where("next is not null")
     alike = following.groupBy("key", "size", "next").agg(F.count("*").alias("both")).where("2 * both >= size and 2 * both >= next.size").select(F.col("key").alias("a"), F.col("next.key").alias("b"))
-    joined = components(alike).select(F.col("node").alias("key"), F.col("root").alias("class"))
+    joined = components(alike, tasks=tasks).select(F.col("node").alias("key"), F.col("root").alias("class"))
     named = salted_join(open_rows, pieces.join(joined, "key", "left").select("key", F.coalesce("class", "key").alias("class")), "key")
-    return cut(named.select("class", "node", "root").distinct())
+    return cut(named.select("class", "node", "root").distinct(), tasks)
 
 
-def _blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(rest: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
     """``rest`` with ``s`` and all else of ``sets``, a row for each pair of blocks (``bi``, ``bj``) of a
     class that a node is compared in: all but its largest piece with all nodes."""
-    by_piece = cut(rest.groupBy("class", "root").agg(F.count("*").alias("m")))
+    by_piece = cut(rest.groupBy("class", "root").agg(F.count("*").alias("m")), tasks)
     largest = by_piece.groupBy("class").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m"))
     sized = salted_join(rest, sets.select("node", F.size("s").alias("w")), "node")
     weight = sized.groupBy("class").agg(F.avg("w").alias("w"))
     info = largest.join(weight, "class").withColumn("per", F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK * BLOCK_SHINGLES)) / F.col("w"))))
-    info = cut(info.select("class", F.col("top.root").alias("top"), F.ceil((F.col("m") - F.col("top.m")) / F.col("per")).cast("int").alias("outer"), F.ceil(F.col("top.m") / F.col("per")).cast("int").alias("inner")))
+    info = cut(info.select("class", F.col("top.root").alias("top"), F.ceil((F.col("m") - F.col("top.m")) / F.col("per")).cast("int").alias("outer"), F.ceil(F.col("top.m") / F.col("per")).cast("int").alias("inner")), tasks)
     placed = salted_join(rest, info, "class")
     is_top = F.col("root") == F.col("top")
     own = F.when(is_top, F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer"))).cast("int")
@@ -521,7 +532,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if gone.count() <= MAX_BROADCAST:
         gone = F.broadcast(gone)
     kept = docs.join(gone, id_col, "left_anti")
-    twice = cut(docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(id_col))
+    twice = cut(docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(id_col), max(1, -(-docs.count() // DOCS_PER_TASK)))
     if twice.isEmpty():
         return kept
     return kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))

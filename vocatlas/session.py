@@ -30,7 +30,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows now come from the shared folder."""
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Cut the lineage: the rows now come from the shared folder.
+
+    At most ``tasks`` tasks write a file each. Without it there is a file for each shuffle partition, however few rows
+    there are, and for each file Hadoop's local file system starts a process."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if tasks is None else df.coalesce(tasks)).checkpoint(eager=True)
