@@ -123,3 +123,24 @@ def test_names_come_only_from_rows_that_won(spark):
 def test_empty_catalog(spark):
     g = graph.build(catalogs.empty(spark))
     assert graph.context(g).isEmpty() and graph.stats(g).isEmpty() and graph.expansion_terms(g).isEmpty()
+
+
+def test_folder_of_whole_files_is_one_catalogue(spark, tmp_path):
+    def weak(i, name):
+        return f'<Weakness ID="{i}" Name="{name}" Status="Draft"><Description>d</Description><Related_Weaknesses><Related_Weakness Nature="ChildOf" CWE_ID="1"/></Related_Weaknesses></Weakness>'
+
+    def thing(i, name):
+        return f'{{"type": "tool", "id": "tool--{i}", "name": "{name}", "external_references": [{{"source_name": "mitre-attack", "external_id": "S000{i}"}}]}}'
+
+    link = '{"type": "relationship", "relationship_type": "revoked-by", "source_ref": "tool--1", "target_ref": "tool--2"}'
+    for folder, parts in (("cwe.xml", [weak(1, "a") + weak(2, "b"), weak(3, "c") + weak(2, "late")]), ("attack.json", [f"{thing(1, 'x')}, {link}", thing(2, "y")])):
+        (tmp_path / folder).mkdir()
+        for k, body in enumerate(parts):
+            text = f"<W><Weaknesses>{body}</Weaknesses></W>" if folder == "cwe.xml" else f'{{"objects": [{body}]}}'
+            (tmp_path / folder / f"part-{k}").write_text(text)
+    c = catalogs.load_cwe(spark, str(tmp_path / "cwe.xml"))
+    assert [r.name for r in c.nodes.orderBy("load_seq").collect()] == ["a", "b", "c", "late"]
+    assert {r.node_id: r.name for r in graph.winners(c.nodes).collect()} == {"CWE-1": "a", "CWE-2": "b", "CWE-3": "c"}
+    assert c.edges.count() == 4 and c.edges.select("load_seq").distinct().count() == 4
+    a = catalogs.load_attack(spark, str(tmp_path / "attack.json"))
+    assert rows(a.nodes, "node_id", "revoked_by") == [("S0001", "S0002"), ("S0002", None)] and rows(a.edges, "src", "dst") == [("S0001", "S0002")]

@@ -50,3 +50,13 @@ def test_errors_inside_the_optional_part_are_raised(monkeypatch):
     monkeypatch.setattr(entry.importlib, "import_module", broken)
     with pytest.raises(ImportError):
         entry.queries()
+
+
+def test_stand_in_catalogues_are_files_of_bounded_size(spark, con, monkeypatch):
+    monkeypatch.setattr(q, "FILE_ELEMENTS", 7)
+    at = q._catalog_files(spark, SF)
+    for name in ("attack.json", "cwe.xml", "capec.xml"):
+        files = [r.value for r in spark.read.text(f"{at}/{name}", wholetext=True).collect()]
+        assert len(files) > 1 and all(sum(f.count(x) for x in ('"type":', "<Weakness ", "<Category ", "<Attack_Pattern ")) <= 8 for f in files)
+    for name in ("source_attack_nodes", "source_attack_edges", "source_attack_warnings", "source_xml_nodes", "source_xml_edges"):
+        assert_same(q.QUERIES[name](spark, SF), q.ORACLE_SQL[name], con)

@@ -672,6 +672,19 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources, sinks and the run, over files that are written from the driver's tables
 
 
+#: Elements of a stand-in catalogue's file, at most: a task reads a file whole.
+FILE_ELEMENTS = 8_192
+
+
+def _write_whole(rows: DataFrame, head: str, sep: str, foot: str, path: str) -> None:
+    """``rows`` (part, key and ``o``, an element's text) as a folder of whole catalogues
+    of so many elements, whose files by name have the elements by part and key."""
+    chunk = rows.withColumn("chunk", F.floor(F.col("key") / FILE_ELEMENTS)).groupBy("part", "chunk")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "o"))), lambda x: x["o"]), sep)
+    text = chunk.agg(F.concat(F.lit(head), joined, F.lit(foot)).alias("value"))
+    text.orderBy("part", "chunk").select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def _catalog_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of catalogues and knowledge bases spelled from the driver's tables."""
     at = scratch_path(spark, "catalog-files")
@@ -686,7 +699,7 @@ def _catalog_files(spark: SparkSession, sf_dir: str) -> str:
         names = ("id", "name", "description", "external_references", "revoked", "x_mitre_deprecated", "x_mitre_shortname", "x_mitre_domains", "kill_chain_phases", "relationship_type", "source_ref", "target_ref")
         types = {"external_references": "array<struct<source_name:string,external_id:string>>", "revoked": "boolean", "x_mitre_deprecated": "boolean", "x_mitre_domains": "array<string>", "kill_chain_phases": "array<struct<kill_chain_name:string,phase_name:string>>"}
         o = F.struct(F.lit(kind).alias("type"), *(cols.get(x, none).cast(types.get(x, "string")).alias(x) for x in names))
-        return rows.select(F.concat(F.lit(order), F.format_string("%012d", cols["key"])).alias("ord"), F.to_json(o).alias("o"))
+        return rows.select(F.lit(order).alias("part"), cols["key"].alias("key"), F.to_json(o).alias("o"))
 
     parts = [
         objects(r, "x-mitre-tactic", "0", key=F.col("r_regionkey").cast("long"), id=F.concat(F.lit("tactic--"), F.col("r_regionkey").cast("string")), name=F.col("r_name"), x_mitre_shortname=F.lower("r_name"),
@@ -702,29 +715,30 @@ def _catalog_files(spark: SparkSession, sf_dir: str) -> str:
         objects(n.where("n_nationkey % 6 = 1"), "relationship", "5", key=F.col("n_nationkey").cast("long"), relationship_type=F.lit("revoked-by"), source_ref=F.concat(F.lit("nation--"), F.col("n_nationkey").cast("string")), target_ref=F.concat(F.lit("nation--"), (F.col("n_nationkey") + 1).cast("string"))),
     ]
     every = functools.reduce(DataFrame.unionByName, parts)
-    # A bundle is one JSON text, of one row: a catalogue is a small file that a task reads whole.
-    joined = lambda rows, sep: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["o"]), sep)
-    every.agg(F.concat(F.lit('{"type": "bundle", "objects": ['), joined(F.struct("ord", "o"), ",\n"), F.lit("]}")).alias("value")).write.text(f"{at}/attack.json")
-    weak = p.select(F.format_string("%012d", "p_partkey").alias("ord"), F.concat(
+    _write_whole(every, '{"type": "bundle", "objects": [', ",\n", "]}", f"{at}/attack.json")
+    weak = p.select(F.col("p_partkey").alias("key"), F.concat(
         F.lit('<Weakness ID="'), F.col("p_partkey").cast("string"), F.lit('" Name="'), "p_name", F.lit('" Abstraction="Base" Structure="Simple" Status="'), F.when(F.col("p_partkey") % 7 == 0, "Deprecated").otherwise("Draft"),
         F.lit('"><Description> <b>'), "p_type", F.lit("</b> &amp; more </Description><Related_Weaknesses>"),
         F.lit('<Related_Weakness Nature="ChildOf" CWE_ID="'), F.floor(F.col("p_partkey") / 8).cast("string"), F.lit('" View_ID="1000"/><Related_Weakness Nature="PeerOf" CWE_ID="1"/></Related_Weaknesses>'),
         F.lit('<Related_Attack_Patterns><Related_Attack_Pattern CAPEC_ID="'), (F.col("p_partkey") % 13 + 1).cast("string"), F.lit('"/></Related_Attack_Patterns></Weakness>'),
     ).alias("o"))
+    # A category has as many members as there are parts of a size, so each is a file.
     boxes = p.groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit('<Has_Member CWE_ID="'), k.cast("string"), F.lit('" View_ID="1000"/>'))), "").alias("m")).select(
-        F.format_string("%012d", "p_size").alias("ord"), F.concat(F.lit('<Category ID="'), (10_000_000 + F.col("p_size")).cast("string"), F.lit('" Name="size" Status="Draft"><Summary>Of a size.</Summary><Relationships>'), "m", F.lit("</Relationships></Category>")).alias("o")
+        (F.col("p_size").cast("long") * FILE_ELEMENTS).alias("key"), F.concat(F.lit('<Category ID="'), (10_000_000 + F.col("p_size")).cast("string"), F.lit('" Name="size" Status="Draft"><Summary>Of a size.</Summary><Relationships>'), "m", F.lit("</Relationships></Category>")).alias("o")
     )
-    page = lambda rows, tag: rows.agg(joined(F.struct("ord", "o"), "\n").alias(tag))
     comment = '<!-- <Weakness ID="99999999" Name="not there" Status="Draft"></Weakness> -->'
-    page(weak, "w").join(page(boxes, "b")).select(F.concat(F.lit(f'<?xml version="1.0"?><Weakness_Catalog xmlns="http://example.org/cwe"><Weaknesses>{comment}'), "w", F.lit("</Weaknesses><Categories>"), "b", F.lit("</Categories></Weakness_Catalog>")).alias("value")).write.text(f"{at}/cwe.xml")
-    patterns = s.select(F.format_string("%012d", "s_suppkey").alias("ord"), F.concat(
+    head = f'<?xml version="1.0"?><Weakness_Catalog xmlns="http://example.org/cwe">{comment}'
+    # Which of its two lists an element stands in says the element's part.
+    listed = lambda rows, part, tag: rows.select(F.lit(part).alias("part"), "key", F.concat(F.lit(f"<{tag}>"), "o", F.lit(f"</{tag}>")).alias("o"))
+    _write_whole(listed(weak, "0", "Weaknesses").unionByName(listed(boxes, "1", "Categories")), head, "\n", "</Weakness_Catalog>", f"{at}/cwe.xml")
+    patterns = s.select(F.lit("0").alias("part"), F.col("s_suppkey").alias("key"), F.concat(
         F.lit('<Attack_Pattern ID="'), F.col("s_suppkey").cast("string"), F.lit('" Name="'), "s_name", F.lit('" Abstraction="Meta" Status="Stable"><Description>supplier</Description>'),
         F.lit('<Related_Attack_Patterns><Related_Attack_Pattern Nature="ChildOf" CAPEC_ID="'), F.floor(F.col("s_suppkey") / 4).cast("string"), F.lit('"/></Related_Attack_Patterns>'),
         F.lit('<Related_Weaknesses><Related_Weakness CWE_ID="'), F.col("s_suppkey").cast("string"), F.lit('"/></Related_Weaknesses>'),
         F.lit('<Taxonomy_Mappings><Taxonomy_Mapping Taxonomy_Name="ATTACK"><Entry_ID>'), (1000 + F.col("s_nationkey")).cast("string"), F.lit("</Entry_ID></Taxonomy_Mapping>"),
         F.lit('<Taxonomy_Mapping Taxonomy_Name="WASC"><Entry_ID>11</Entry_ID></Taxonomy_Mapping></Taxonomy_Mappings></Attack_Pattern>'),
     ).alias("o"))
-    page(patterns, "w").select(F.concat(F.lit('<?xml version="1.0"?><Attack_Pattern_Catalog xmlns="http://example.org/capec"><Attack_Patterns>'), "w", F.lit("</Attack_Patterns></Attack_Pattern_Catalog>")).alias("value")).write.text(f"{at}/capec.xml")
+    _write_whole(patterns, '<?xml version="1.0"?><Attack_Pattern_Catalog xmlns="http://example.org/capec"><Attack_Patterns>', "\n", "</Attack_Patterns></Attack_Pattern_Catalog>", f"{at}/capec.xml")
     return at
 
 

@@ -1,8 +1,9 @@
 """Threat catalogues (STIX JSON, weakness XML, attack-pattern XML) as node and edge frames.
 
-Catalogues are small files that one task reads; what is made of them is written
-as Parquet for anything larger. ``load_seq`` keeps the order of the source,
-which later decides between repeated nodes and names.
+A catalogue is a file, or a folder of files that are each whole and follow by
+name. A task reads a file whole, so that a large catalogue has to be a folder.
+``load_seq`` keeps the order of the source, which later decides between
+repeated nodes and names.
 
 Explicit schemas are used throughout: inferred ones turn lone members into
 structs and identifiers such as 1110.001 into numbers.
@@ -43,6 +44,8 @@ STIX_TYPES = {
 }
 #: How far apart the sequences of two sources are.
 SOURCE_STRIDE = 1 << 40
+#: How far apart those of two files of a source are, and of two kinds of elements in a file.
+FILE_STRIDE, KIND_STRIDE = 1 << 24, 1 << 22
 
 _OBJECT = (
     "struct<type:string,id:string,name:string,description:string,revoked:boolean,x_mitre_deprecated:boolean,x_mitre_shortname:string,"
@@ -88,17 +91,28 @@ def _external_id(refs: Column) -> Column:
     return F.try_element_at(fit, F.lit(1))["external_id"]
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """Each file at ``path`` as a row: ``value``, and ``began``, where the sequence of its elements begins."""
+    # Contents aren't read for the names.
+    names = sorted(r.file for r in spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")).collect())
+    read = spark.read.text(path, wholetext=True)
+    if len(names) < 2:
+        return read.select("value", F.lit(0).cast("long").alias("began"))
+    began = spark.createDataFrame([(n, i * FILE_STRIDE) for i, n in enumerate(names)], "file string, began long")
+    return read.select("value", F.col("_metadata.file_path").alias("file")).join(F.broadcast(began), "file").select("value", "began")
+
+
 def load_attack(spark: SparkSession, path: str, domains: Iterable[str] | None = None) -> Catalog:
-    """A STIX bundle, or a bare list of objects.
+    """A STIX bundle, or a bare list of objects; or a folder of them, as one.
 
     Objects of other domains than ``domains`` are left out if they name any;
     edges are made regardless, so that their ends may dangle.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
+    raw = _whole(spark, path).withColumn("value", F.regexp_replace("value", "^﻿", ""))
     bundle = F.from_json("value", f"objects array<{_OBJECT}>", {"mode": "FAILFAST"})["objects"]
     bare = F.from_json("value", f"array<{_OBJECT}>", {"mode": "FAILFAST"})
-    listed = raw.select(F.posexplode(F.when(F.col("value").rlike(r"^\s*\["), bare).otherwise(bundle)).alias("pos", "o"))
-    rows = listed.select(F.col("pos").cast("long").alias("load_seq"), "o.*").withColumn("ext", _external_id(F.col("external_references")))
+    listed = raw.select("began", F.posexplode(F.when(F.col("value").rlike(r"^\s*\["), bare).otherwise(bundle)).alias("pos", "o"))
+    rows = listed.select((F.col("began") + F.col("pos")).alias("load_seq"), "o.*").withColumn("ext", _external_id(F.col("external_references")))
     rows = rows.withColumn("parsed", ids.parse_id(F.col("ext")))
 
     kind = F.lit(None).cast("string")
@@ -179,13 +193,13 @@ def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFram
     its schema; namespaces of the root are of no effect on local names.
     """
     text = unzipped(spark, path)
-    whole = spark.createDataFrame([(text,)], "value string") if text is not None else spark.read.text(path, wholetext=True)
+    whole = spark.createDataFrame([(text, 0)], "value string, began long") if text is not None else _whole(spark, path)
     # Prefixes of element names are dropped, as only local names count.
     # Comments hold no elements.
     local = F.regexp_replace(F.regexp_replace("value", r"(?s)<!--.*?-->", ""), r"(</?)[A-Za-z_][\w.\-]*:", "$1")
     found = F.regexp_extract_all(local, F.lit(rf"(?s)<{tag}(?:\s[^>]*?)?(?:/>|>.*?</{tag}\s*>)"), F.lit(0))
-    rows = whole.select(F.posexplode(found).alias("pos", "xml"))
-    return rows.select(F.col("pos").cast("long").alias("load_seq"), F.from_xml("xml", schema, {"mode": "FAILFAST", "valueTag": "_VALUE"}).alias("e"), "xml").select("load_seq", "e.*", "xml")
+    rows = whole.select("began", F.posexplode(found).alias("pos", "xml"))
+    return rows.select((F.col("began") + F.col("pos")).alias("load_seq"), F.from_xml("xml", schema, {"mode": "FAILFAST", "valueTag": "_VALUE"}).alias("e"), "xml").select("load_seq", "e.*", "xml")
 
 
 def _inner_text(tag: str) -> Column:
@@ -235,7 +249,7 @@ def load_cwe(spark: SparkSession, path: str) -> Catalog:
     )
     for at, (tag, kind) in enumerate((("Category", "weakness_category"), ("View", "weakness_view")), start=1):
         box = _elements(spark, path, tag, f"_ID string, _Name string, _Status string, Relationships {_MEMBERS}, Members {_MEMBERS}")
-        box = box.where("coalesce(_ID, '') != ''").withColumn("node_id", _number_id("CWE-", F.col("_ID"))).withColumn("load_seq", F.col("load_seq") + at * (1 << 14))
+        box = box.where("coalesce(_ID, '') != ''").withColumn("node_id", _number_id("CWE-", F.col("_ID"))).withColumn("load_seq", F.col("load_seq") + at * KIND_STRIDE)
         text = F.coalesce(F.nullif(_inner_text("Summary"), F.lit("")), _inner_text("Objective"))
         nodes = nodes.unionByName(_xml_nodes(box, "cwe", kind, text))
         for slot, members in enumerate(("Relationships.Has_Member", "Members.Has_Member")):
