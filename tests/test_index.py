@@ -127,3 +127,50 @@ def test_retrieval_metrics(spark):
     assert (got["a"].recall_1, got["a"].recall_10, got["a"].recall_100) == (0.0, 0.5, 1.0)
     assert got["a"].ndcg_10 == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3))) and got["b"].ndcg_10 == 0.0
     assert metrics.coverage(ranked, qrels).first()[0] == pytest.approx(2 / 3)
+
+
+def test_best_are_chosen_before_pairs_are_shuffled(spark, idx):
+    """The same rows as from all scores, ties by id included, from few pairs."""
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    texts = [(i, " ".join(words[(i * j) % 5] for j in range(1, 2 + i % 7))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([("a", "alpha beta alpha", "gamma"), ("b", "delta", ""), ("c", "none", None), ("d", "eps", "none")], "query_id string, text string, expansion string")
+    extra = spark.createDataFrame([("a", 0, "eps eps"), ("b", 0, "alpha"), ("c", 1, "beta")], "query_id string, ord int, text string")
+    made = index.build(docs)
+    got = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
+    assert got(bm25.search(made, q, 7)) == got(bm25.top(bm25.scores(made, q), 7))
+    few, every = bm25.fused(made, q, 0.7, k=7), bm25.fused(made, q, 0.7)
+    assert got(bm25.top(few, 7)) == got(bm25.top(every, 7)) and few.count() <= 3 * 4 * 7 < every.count()
+    few, every = bm25.synthesis(made, q, extra, 2, k=7), bm25.synthesis(made, q, extra, 2)
+    assert got(bm25.top(few, 7)) == got(bm25.top(every, 7)) and few.count() <= 3 * 4 * 7 < every.count()
+    twice = index.build(docs.unionByName(docs.where("doc_id < 9")))
+    assert got(bm25.search(twice, q, 7)) == got(bm25.top(bm25.scores(twice, q), 7))
+    named = spark.createDataFrame([("q", "guess keys")], "query_id string, text string")
+    assert got(bm25.search(idx, named, 2)) == got(bm25.top(bm25.scores(idx, named), 2))
+
+
+def test_scores_that_round_to_the_same_place_go_by_id(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from vocatlas.operators import nearest
+
+    monkeypatch.setattr(nearest, "CELLS", 1)
+    best = nearest.Best(1, 1)
+    for i, score in ((9, 0.5), (8, 0.1), (7, 0.4999996), (6, 0.4999994)):
+        best.offer(np.array([[score]]), np.array([[True]]), pa.array([i]))
+        best._cut()
+    assert best.ids[0].to_pylist() == [7]
+
+
+def test_dense_search_of_odd_vectors(spark, monkeypatch):
+    from vocatlas.operators import nearest
+
+    monkeypatch.setattr(nearest, "CELLS", 16)
+    nan = float("nan")
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [2.0, 0.0]), (6, [1.0, 1.0]), (7, [-1.0, 0.0]), (8, [nan, 1.0]), (None, [1.0, 0.0]), (9, [3.0, 0.0])], "doc_id long, embedding array<float>")
+    q = v.where("doc_id in (0, 1, 2, 6)").withColumnRenamed("doc_id", "query_id")
+    pairs = v.join(q.select("query_id", F.col("embedding").alias("e")), F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", bm25.cosine(F.col("e"), F.col("embedding")).alias("score"))
+    got = lambda df: sorted((r.query_id, r["rank"], r.doc_id, None if r.score is None else repr(round(r.score, 6))) for r in df.collect())
+    for k in (2, 20):
+        assert got(bm25.dense_search(v, q, k)) == got(bm25.top(pairs, k))

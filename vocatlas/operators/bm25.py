@@ -2,24 +2,31 @@
 
 ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf / (tf + k1 (1 - b + b dl / avgdl))``
 with exact lengths, N, df and avgdl by field; a token that a query repeats adds
-up. Scores are sums per (query, document), partial before the shuffle; the best
-k of a query are limited within each task before they meet.
+up. ``scores`` gives all documents that share a token, as sums per (query,
+document). The best k of a query are chosen in the tasks that read the documents
+(``nearest``), so that other pairs are never made; where an index was saved, or
+an id has several rows, they are chosen from ``scores``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatlas.functions.text import tokens
+from vocatlas.operators import nearest
 from vocatlas.operators.index import Index
 
 # The parameters of the published runs.
 K1, B = 0.9, 0.4
 TOP_K = 100
-#: Query vectors broadcast at once.
+#: Queries that a task holds at once, about.
 QUERY_BLOCK = 2_000
-SCALE = 6
+#: Vectors of a task, at most, about.
+VECTORS_PER_TASK = 1 << 16
+SCALE = nearest.SCALE
 
 
 def query_tokens(queries: DataFrame, analyzer: str = "simple", col: str = "text") -> DataFrame:
@@ -66,8 +73,30 @@ def top(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _candidates(index: Index, asked: DataFrame, k: int, field: str, k1: float = K1, b: float = B, by_max: bool = False) -> DataFrame | None:
+    """Scores of rows that have the best ``k`` of each query among them, or None where they must come from ``scores``.
+    ``asked``: query_id, ord, token, qtf."""
+    if index.analyzed is None or k < 1:
+        return None
+    docs = index.analyzed.where(F.col("field") == field)
+    # Rows of one id are one document, which no task need have whole.
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return _in_blocks(asked, QUERY_BLOCK, lambda block: nearest.sparse(docs, block, k, k1, b, by_max))
+
+
+def _in_blocks(queries: DataFrame, block: int, find) -> DataFrame:
+    """``find`` of some ``block`` queries at a time, put together."""
+    blocks = -(-queries.select("query_id").distinct().count() // block) or 1
+    if blocks == 1:
+        return find(queries)
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (find(queries.where(dealt == i)) for i in range(blocks)))
+
+
 def search(index: Index, queries: DataFrame, k: int = TOP_K, field: str = "contents", k1: float = K1, b: float = B, col: str = "text") -> DataFrame:
-    return top(scores(index, queries, field, k1, b, col), k)
+    found = _candidates(index, query_tokens(queries, index.analyzer, col).withColumn("ord", F.lit(0)), k, field, k1, b)
+    return top(scores(index, queries, field, k1, b, col) if found is None else found, k)
 
 
 def fielded(index: Index, queries: DataFrame, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
@@ -79,18 +108,31 @@ def fielded(index: Index, queries: DataFrame, weights: dict[str, float], k1: flo
     return out.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def fused(index: Index, queries: DataFrame, w: float = 1.0, field: str = "contents") -> DataFrame:
-    """Extension: score of the query's ``text`` plus ``w`` times that of its ``expansion``."""
+def fused(index: Index, queries: DataFrame, w: float = 1.0, field: str = "contents", k: int | None = None) -> DataFrame:
+    """Extension: score of the query's ``text`` plus ``w`` times that of its ``expansion``;
+    with ``k`` of few more than each query's best ``k`` documents."""
+    if k is not None and w > 0:
+        more = query_tokens(queries.where("coalesce(expansion, '') != ''"), index.analyzer, "expansion").withColumn("qtf", F.col("qtf") * w)
+        asked = query_tokens(queries, index.analyzer).withColumn("qtf", F.col("qtf").cast("double")).unionByName(more).groupBy("query_id", "token").agg(F.sum("qtf").alias("qtf"))
+        found = _candidates(index, asked.withColumn("ord", F.lit(0)), k, field)
+        if found is not None:
+            return found
     original = scores(index, queries, field)
     extra = scores(index, queries.where("coalesce(expansion, '') != ''"), field, col="expansion").withColumn("score", F.col("score") * w)
     return original.unionByName(extra).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def synthesis(index: Index, queries: DataFrame, extra: DataFrame, budget: int) -> DataFrame:
+def synthesis(index: Index, queries: DataFrame, extra: DataFrame, budget: int, k: int | None = None) -> DataFrame:
     """Extension: a document's best score over a query and its first ``budget``
-    extra queries. ``extra``: query_id, ord, text; chosen without looking at results."""
+    extra queries; with ``k`` of few more than each query's best ``k`` documents.
+    ``extra``: query_id, ord, text; chosen without looking at results."""
     asked = queries.select("query_id", F.lit(-1).alias("ord"), "text").unionByName(extra.where(F.col("ord") < budget).select("query_id", "ord", "text"))
     each = asked.select(F.struct("query_id", "ord").alias("query_id"), "text")
+    if k is not None:
+        counted = query_tokens(each, index.analyzer).select("query_id.query_id", "query_id.ord", "token", "qtf")
+        found = _candidates(index, counted, k, "contents", by_max=True)
+        if found is not None:
+            return found
     return scores(index, each).groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
 
 
@@ -118,18 +160,12 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, block:
     """Extension: the best ``k`` vectors of each query by cosine, itself left out.
 
     ``vectors``: doc_id, embedding. ``queries``: query_id, embedding; a stated
-    set, of which ``block`` at most are broadcast at once, so that vectors are
-    read once a block and never shuffled; each task keeps its best ``k``.
+    set, of which about ``block`` are held at once, so that vectors are read once
+    a block; each task keeps its best ``k``. Every query meets every vector.
     """
-    blocks = -(-queries.count() // block) or 1
-    dealt = queries.select("query_id", F.col("embedding").alias("e"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    out = None
-    for b in range(blocks):
-        asked = F.broadcast(dealt.where(F.col("block") == b).drop("block"))
-        part = vectors.join(asked, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", cosine(F.col("e"), F.col("embedding")).alias("score"))
-        best = top(part, k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    n = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // VECTORS_PER_TASK))
+    dealt = vectors.select("doc_id", "embedding").repartition(n)
+    return top(_in_blocks(queries, block, lambda part: nearest.dense(dealt, part, k)), k)
 
 
 def hybrid(sparse: DataFrame, dense: DataFrame, w: float = 0.5) -> DataFrame:

@@ -471,7 +471,7 @@ r AS ({TOP_SQL.format(s='s')})"""
 def bm25_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query's score plus its weighted expansion's."""
     q = _queries(spark, sf_dir).withColumn("expansion", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("the of "), F.substring("text", 1, 12))).otherwise(""))
-    return bm25.top(bm25.fused(stand_in_index(spark, sf_dir), q, 0.7), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return bm25.top(bm25.fused(stand_in_index(spark, sf_dir), q, 0.7, k=10), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 QRELS_SQL = "SELECT item_id AS query_id, doc_id, quality AS gain FROM benchmark JOIN labels ON labels.doc_id % 40 = benchmark.item_id % 40"
@@ -513,7 +513,7 @@ def bm25_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query with a budget of two of its extra queries."""
     q = _queries(spark, sf_dir)
     extra = q.select("query_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ord"), "text").select("query_id", "ord", F.split_part("text", F.lit("."), F.col("ord") + 2).alias("text"))
-    s = bm25.synthesis(stand_in_index(spark, sf_dir), q, extra, 2)
+    s = bm25.synthesis(stand_in_index(spark, sf_dir), q, extra, 2, k=10)
     return bm25.top(s, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
