@@ -12,7 +12,9 @@ from vocatlas.functions.ids import is_id_shaped, looks_structural
 from vocatlas.functions.replies import KINDS
 from vocatlas.operators.graph import Graph
 from vocatlas.operators.index import DF_MAX_RATIO, term_df, too_common
+from vocatlas.operators.skew import left_join
 from vocatlas.operators.validate import validate
+from vocatlas.session import cut
 
 MAX_TERMS = 12
 TERM = "struct<term:string,kind:string,structural_id:string,graph_validated:boolean,doc_freq:bigint,accepted:boolean,reject_reason:string,repaired_from_id:string>"
@@ -101,8 +103,17 @@ def adjudicate(
     proposals: DataFrame, graph: Graph, term_stats: DataFrame, total_docs: int, ratio: float = DF_MAX_RATIO, allow_deprecated: bool = False,
     revoked_policy: str = "reject", analyzer: str = "simple",
 ) -> DataFrame:
-    """Both gates over (term, kind and any others): one row a proposal, as ``t``."""
-    return frequency_gate(graph_gate(proposals, graph, allow_deprecated, revoked_policy), term_stats, total_docs, ratio, analyzer)
+    """Both gates over (term, kind and any others): one row a proposal, as ``t``.
+
+    Each distinct proposal is judged once, and its judgement joined with its rows, of which some have very many.
+    """
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"__{c}")
+    keys = ["__term", "__kind"]
+    counted = cut(proposals.groupBy("term", "kind").agg(F.count("*").alias("__n")).select("*", *map(known, ("term", "kind"))))
+    gated = cut(graph_gate(counted.select("term", "kind", *keys), graph, allow_deprecated, revoked_policy))
+    judged = frequency_gate(gated, term_stats, total_docs, ratio, analyzer)
+    rest = [c for c in proposals.columns if c not in ("term", "kind")]
+    return left_join(proposals.select(*rest, *map(known, ("term", "kind"))), judged, keys, counted.select(*keys, "__n")).select(*rest, "t")
 
 
 def index_gate(terms: DataFrame, term_stats: DataFrame, analyzer: str = "simple", field: str = "contents") -> DataFrame:

@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vocatlas.functions.text import tokens
+from vocatlas.operators.skew import left_join, spread
 
 FIELDS = ("contents", "expansion")
 #: A term in more than this share of documents says too little.
@@ -105,14 +107,16 @@ def term_df(terms: DataFrame, term_stats: DataFrame, analyzer: str = "simple", f
     """``terms`` with ``doc_freq``: the greatest or least document frequency of
     a term's tokens as its ``combine`` column ('max' or 'min') says; unseen
     tokens count 0, and a term without tokens has 0."""
-    # Each distinct (term, rule) is looked up once.
-    asked = terms.select(F.col(col).alias("__t"), F.col(combine).alias("__c")).distinct()
-    each = asked.select("__t", "__c", F.explode_outer(tokens(F.col("__t"), analyzer)).alias("token"))
+    # Each distinct (term, rule) is looked up once; null has no tokens.
+    asked = terms.where(F.col(col).isNotNull()).select(F.col(col).alias("__t"), F.coalesce(combine, F.lit("")).alias("__c")).distinct()
+    each = asked.select("__t", "__c", F.explode_outer(tokens(F.col("__t"), analyzer)).alias("token")).withColumn("token", F.coalesce("token", F.lit("")))
     stats = term_stats.where(F.col("field") == field).select("token", "df")
-    seen = each.join(stats, "token", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    seen = left_join(each, stats, ["token"]).withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
     found = seen.groupBy("__t", "__c").agg(F.when(F.col("__c") == "min", F.min("df")).otherwise(F.max("df")).alias("doc_freq"))
-    same = F.col(col).eqNullSafe(F.col("__t")) & F.col(combine).eqNullSafe(F.col("__c"))
-    return terms.join(found, same, "left").drop("__t", "__c")
+    plain = [F.col(f.name) for f in terms.schema if not isinstance(f.dataType, T.MapType)]
+    keyed = terms.withColumn("__t", spread(F.col(col), *plain)).withColumn("__c", F.coalesce(combine, F.lit("")))
+    out = keyed.join(found, ["__t", "__c"], "left")
+    return out.select(*terms.columns, F.coalesce("doc_freq", F.lit(0).cast("long")).alias("doc_freq"))
 
 
 def too_common(doc_freq, total, ratio: float = DF_MAX_RATIO):

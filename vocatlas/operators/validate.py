@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vocatlas.functions.ids import canonical_id, strip
 from vocatlas.operators.graph import Graph
+from vocatlas.operators.skew import spread
 
 POLICIES = ("reject", "repair")
 
@@ -34,9 +35,11 @@ def validate(graph: Graph, terms: DataFrame, col: str = "term", allow_deprecated
     repaired, node_name and original_id (the canonical id before a repair)."""
     if revoked_policy not in POLICIES:
         raise ValueError(f"unknown policy {revoked_policy!r}; known: {POLICIES}")
-    node = graph.nodes.select(F.col("node_id").alias("__id"), F.lit(True).alias("__known"), F.col("status").alias("__status"), F.col("revoked_by").alias("__by"), F.col("name").alias("__name"))
-    successor = graph.nodes.select(F.col("node_id").alias("__by"), F.lit(True).alias("__loaded"), F.col("name").alias("__by_name"))
-    rows = terms.withColumn("__id", canonical_id(F.col(col))).join(node, "__id", "left").join(successor, "__by", "left")
+    node = graph.nodes.select(F.col("node_id").alias("__k"), F.lit(True).alias("__known"), F.col("status").alias("__status"), F.col("revoked_by").alias("__by"), F.col("name").alias("__name"))
+    successor = graph.nodes.select(F.col("node_id").alias("__b"), F.lit(True).alias("__loaded"), F.col("name").alias("__by_name"))
+    # Most terms are no identifier, and most nodes have no successor.
+    rows = terms.withColumn("__id", canonical_id(F.col(col))).withColumn("__k", spread(F.col("__id"), F.col(col))).join(node, "__k", "left")
+    rows = rows.withColumn("__b", spread(F.col("__by"), F.col(col))).join(successor, "__b", "left")
     revoked = F.coalesce(F.col("__status") == "revoked", F.lit(False))
     repaired = revoked & F.col("__loaded").isNotNull() & F.lit(revoked_policy == "repair")
     deprecated = F.coalesce(F.col("__status") == "deprecated", F.lit(False)) & F.lit(not allow_deprecated)
