@@ -199,3 +199,20 @@ def test_already_in_document(spark):
 
     got = df.select(adj.already_in_document(F.col("text"), F.col("term"), tokens(F.col("term")), tokens(F.col("text")))).collect()
     assert [r[0] for r in got] == [True, False, True, False, False]
+
+
+def test_rounds_keep_their_clients(spark, tmp_path, monkeypatch):
+    """Texts beyond a partition's share are asked in rounds, by as many clients as without."""
+    docs = spark.range(60).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc_id"), F.lit("report").alias("source"), F.lit("x" * 100).alias("text"))
+    dealt = []
+    ask = enrich.ask
+    monkeypatch.setattr(enrich, "ROUND_BYTES", 1_000)
+    monkeypatch.setattr(enrich, "ask", lambda d, *a: dealt.append(d.count()) or ask(d, *a))
+
+    def client():
+        return StubClient(responder=lambda prompt, system: "[]", fail_times=1, backoff_s=0.0)
+
+    enrich.ask_in_rounds(docs, client, str(tmp_path / "replies"), concurrency=2)
+    got = spark.read.schema(enrich.REPLIES).parquet(str(tmp_path / "replies"))
+    assert got.select("doc_id").distinct().count() == got.count() == sum(dealt) == 60 and len(dealt) == 3
+    assert got.select(F.inline("attempts")).where("not ok").count() == 2 and got.where("reply = '[]'").count() == 60

@@ -851,6 +851,10 @@ def _stub_client() -> model.StubClient:
 def _run(spark: SparkSession, sf_dir: str) -> tuple[list[enrich.RunSummary], str]:
     """Two runs over the documents: the second asks again for what the first failed at."""
     docs = _read(spark, sf_dir, "documents").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", F.lit("report").alias("source"), "text")
+    # They are read some ten times, so their texts are shuffled once only.
+    path = scratch_path(spark, "run-docs")
+    docs.write.parquet(path)
+    docs = spark.read.schema(docs.schema).parquet(path)
     g = graph.build(catalogs.empty(spark))
     ix = index.build(docs)
     at = scratch_path(spark, "run")
