@@ -174,3 +174,20 @@ def test_dense_search_of_odd_vectors(spark, monkeypatch):
     got = lambda df: sorted((r.query_id, r["rank"], r.doc_id, None if r.score is None else repr(round(r.score, 6))) for r in df.collect())
     for k in (2, 20):
         assert got(bm25.dense_search(v, q, k)) == got(bm25.top(pairs, k))
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_runs_of_tokens_in_documents(spark, block):
+    """As by trying every pair, without shuffling a document."""
+    import random
+
+    from vocatlas.operators import nearest
+
+    rng = random.Random(block)
+    docs = [(i, None if i == 3 else [rng.choice("abcdefg") for _ in range(rng.randrange(9))]) for i in range(120)]
+    runs = [(i, [rng.choice("abcde") for _ in range(1 + i % 5)]) for i in range(40)] + [(40, []), (41, ["zz"]), (0, ["a", "b"])]
+    d, r = spark.createDataFrame(docs, "doc_id long, tokens array<string>"), spark.createDataFrame(runs, "item_id long, tokens array<string>")
+    got = nearest.containing(d, r, block)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(i, j) for i, ws in runs for j, ts in docs if ws and any((ts or [])[k : k + len(ws)] == ws for k in range(len(ts or [])))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vocatlas.functions import ids, replies, text
 from vocatlas.operators import adjudicate as adj
-from vocatlas.operators import bm25, graph, index, metrics, validate
+from vocatlas.operators import bm25, graph, index, metrics, nearest, validate
 from vocatlas.plans import config, enrich, model
 from vocatlas.session import scratch_path
 from vocatlas.sources import catalogs, corpus, records
@@ -655,12 +655,8 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT item_id, doc_id FROM t JOIN d ON contains(chr(31) || array_to_string(w, chr(31)) || chr(31), chr(31) || array_to_string({_TOKENS.format('term')}, chr(31)) || chr(31)) WHERE len({_TOKENS.format('term')}) > 0""")
 def terms_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sentences of the benchmark's items that documents already have, a stated set of terms against all documents."""
-    t = _read(spark, sf_dir, "benchmark").select("item_id", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("term")).withColumn("tt", text.tokens(F.col("term")))
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("dt", text.tokens(F.col("text")))
-    # Only documents with a term's first token are looked at; ids alone meet the terms.
-    first = d.select("doc_id", F.explode(F.array_distinct("dt")).alias("first"))
-    pairs = first.join(t.where(F.size("tt") > 0).withColumn("first", F.get("tt", F.lit(0))), "first").drop("first")
-    return pairs.join(d, "doc_id").where(adj.already_in_document(F.col("text"), F.col("term"), F.col("tt"), F.col("dt"))).select("item_id", "doc_id")
+    t = _read(spark, sf_dir, "benchmark").select("item_id", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("term"))
+    return nearest.containing(_read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens")), t.select("item_id", text.tokens(F.col("term")).alias("tokens")), bm25.QUERY_BLOCK)
 
 
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) WHERE k <= 5""")
