@@ -144,3 +144,18 @@ def test_folder_of_whole_files_is_one_catalogue(spark, tmp_path):
     assert c.edges.count() == 4 and c.edges.select("load_seq").distinct().count() == 4
     a = catalogs.load_attack(spark, str(tmp_path / "attack.json"))
     assert rows(a.nodes, "node_id", "revoked_by") == [("S0001", "S0002"), ("S0002", None)] and rows(a.edges, "src", "dst") == [("S0001", "S0002")]
+
+
+def test_edges_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    nodes = [(f"CWE-{i}", "cwe", "weakness", f"n{i}", "", "active", None, [], None, i) for i in range(30)]
+    edges = [(f"CWE-{i % 30}", f"CWE-{i * 7 % 40}", "maps_to", i) for i in range(300)]
+    c = catalogs.Catalog(spark.createDataFrame(nodes, catalogs.NODES), spark.createDataFrame(edges, catalogs.EDGES), spark.createDataFrame([], catalogs.WARNINGS))
+    once = graph.build(c)
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", 20)
+    many = graph.build(c)
+    assert (once.tasks, many.tasks) == (1, 15)
+    for a, b in ((once.edges, many.edges), (once.dangling, many.dangling), (graph.mapped(once), graph.mapped(many)), (graph.stats(once), graph.stats(many))):
+        assert rows(a, *a.columns) == rows(b, *b.columns) != []
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert ", 15), REPARTITION_BY_NUM" in planned(many.edges) and ", 30), REPARTITION_BY_NUM" in planned(graph.mapped(many))
+    assert "REPARTITION_BY_NUM" not in planned(graph.mapped(once))

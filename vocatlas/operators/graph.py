@@ -18,19 +18,23 @@ from vocatlas.session import cut
 from vocatlas.sources import catalogs
 
 HIERARCHY = ("subtechnique_of", "child_of")
+#: Edges of a task, at most, about, where they are made distinct.
+EDGES_PER_TASK = 500_000
 EDGE_TYPES = (*HIERARCHY, "in_tactic", "maps_to", "member_of", "revoked_by")
 
 
 @dataclass
 class Graph:
     """``nodes``: one row a node; ``names``: label to node; ``edges``: kept ones;
-    ``dangling``: those with an absent end, repeats included; ``warnings``."""
+    ``dangling``: those with an absent end, repeats included; ``warnings``;
+    ``tasks``: how many tasks the edges are for."""
 
     nodes: DataFrame
     names: DataFrame
     edges: DataFrame
     dangling: DataFrame
     warnings: DataFrame
+    tasks: int = 1
 
 
 def winners(nodes: DataFrame) -> DataFrame:
@@ -53,11 +57,17 @@ def name_index(nodes: DataFrame) -> DataFrame:
     return labels.withColumn("__k", F.row_number().over(first)).where("__k = 1").select("label", "node_id")
 
 
-def keep_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _dealt(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to ``tasks`` tasks if that is several, as sizes of shuffles say little about memory."""
+    return rows.repartition(tasks, *keys) if tasks > 1 else rows
+
+
+def keep_edges(nodes: DataFrame, edges: DataFrame, tasks: int = 1) -> tuple[DataFrame, DataFrame]:
     """Edges between known nodes, each (src, dst, type) once; edges that dangle."""
     known = nodes.select(F.col("node_id").alias("__n"))
     src, dst = known.select(F.col("__n").alias("src"), F.lit(True).alias("__s")), known.select(F.col("__n").alias("dst"), F.lit(True).alias("__d"))
-    marked = edges.join(src, "src", "left").join(dst, "dst", "left").withColumn("__ok", F.col("__s").isNotNull() & F.col("__d").isNotNull())
+    dealt = _dealt(edges, tasks, "src", "dst", "edge_type")
+    marked = dealt.join(src, "src", "left").join(dst, "dst", "left").withColumn("__ok", F.col("__s").isNotNull() & F.col("__d").isNotNull())
     kept = marked.where("__ok").groupBy("src", "dst", "edge_type").agg(F.min("load_seq").alias("load_seq"))
     return kept, marked.where("not __ok").select("src", "dst", "edge_type", "load_seq")
 
@@ -65,8 +75,9 @@ def keep_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
 def build(catalog: catalogs.Catalog) -> Graph:
     """A catalog's nodes without repeats, its names, and its kept and dangling edges."""
     nodes = winners(catalog.nodes)
-    kept, dangling = keep_edges(nodes, catalog.edges)
-    return Graph(nodes, name_index(catalog.nodes), kept, dangling, catalog.warnings)
+    tasks = -(-catalog.edges.count() // EDGES_PER_TASK)
+    kept, dangling = keep_edges(nodes, catalog.edges, tasks)
+    return Graph(nodes, name_index(catalog.nodes), kept, dangling, catalog.warnings, tasks)
 
 
 def from_files(spark: SparkSession, attack=None, cwe: str | None = None, capec: str | None = None, domains=None) -> Graph:
@@ -113,7 +124,8 @@ def tactics(graph: Graph) -> DataFrame:
 
 def mapped(graph: Graph) -> DataFrame:
     """Nodes of other catalogues, by maps_to edges of either direction."""
-    return neighbours(graph, "maps_to").select("node_id", "other").unionByName(neighbours(graph, "maps_to", reverse=True).select("node_id", "other")).distinct()
+    both = F.array(F.struct(F.col("src").alias("node_id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.col("src").alias("other")))
+    return _dealt(graph.edges.where("edge_type = 'maps_to'").select(F.inline(both)), 2 * graph.tasks if graph.tasks > 1 else 1, "node_id", "other").distinct()
 
 
 def _ordered(rows: DataFrame, name: str) -> DataFrame:
