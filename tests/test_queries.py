@@ -60,3 +60,12 @@ def test_stand_in_catalogues_are_files_of_bounded_size(spark, con, monkeypatch):
         assert len(files) > 1 and all(sum(f.count(x) for x in ('"type":', "<Weakness ", "<Category ", "<Attack_Pattern ")) <= 8 for f in files)
     for name in ("source_attack_nodes", "source_attack_edges", "source_attack_warnings", "source_xml_nodes", "source_xml_edges"):
         assert_same(q.QUERIES[name](spark, SF), q.ORACLE_SQL[name], con)
+
+
+def test_postings_are_not_shuffled(spark, con, monkeypatch):
+    """Only texts are, to tasks of so many documents."""
+    monkeypatch.setattr(q, "DOCS_PER_TASK", 50)
+    df = q.index_postings(spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Exchange ") == plan.count("REPARTITION_BY_NUM") >= 1
+    assert_same(df, q.ORACLE_SQL["index_postings"], con)

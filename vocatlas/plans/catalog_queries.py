@@ -365,6 +365,10 @@ tstat AS (SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post
 whole AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM lens)"""
 
 
+#: Documents of a task that makes their postings, about.
+DOCS_PER_TASK = 4_096
+
+
 def stand_in_index(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.build(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -379,7 +383,9 @@ def index_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM post JOIN lens USING (doc_id) GROUP BY post.doc_id, dl""")
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The postings, summed up by document, with its length."""
-    i = stand_in_index(spark, sf_dir)
+    # Once texts are dealt by id, postings, sums and lengths meet without being shuffled.
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    i = index.build(docs.repartition(-(-docs.count() // DOCS_PER_TASK) or 1, "doc_id"))
     by_doc = i.postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
     return by_doc.join(i.doc_stats.select("doc_id", "dl"), "doc_id")
 
